@@ -1,0 +1,209 @@
+"""N-gram Jaccard join by filters under several global orders of the shingles.
+
+If two sets are similar enough, they share a shingle among the first few of each, whatever
+the global order. The first order (estimated frequency, then a hash) deals documents to
+buckets; a pair of a bucket goes on to verification only if it also shares a prefix
+shingle under each of the other orders (other hashes within frequency classes, and a hash
+alone). Frequencies come from a table of fixed size that counts every shingle of every
+document: it sets the order only, so its errors cost time and not links.
+
+Documents of equal sets are one class with one representative. Links are found without all
+pairs of a bucket: in a few rounds each bucket's members meet one member, linked classes
+become one component, and what is left, pairs of different components, is verified whole.
+Components grow by label spreading with pointer jumping, each round written to the shared
+folder.
+
+Defined results: texts that are null or have no word are linked with nothing; texts of fewer
+than ``k`` words have one shingle; repeated rows are linked; ties don't exist; null ids stay
+null, and are nobody's component unless all ids of it are null; an empty table gives an
+empty one; other columns don't matter. Sets are compared by 64-bit hashes of shingles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import batch_texts, mix, shingle_sets, stored
+
+#: Cells of the frequency table (2 MB as broadcast) and of one slice of it; orders beside the first; rounds of one-member meetings.
+CELL_BITS, SLICE_BITS, MORE_ORDERS, ROUNDS = 21, 16, 2, 3
+
+
+def frequency_table(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
+    """Class (half powers of two) of the count of each cell, over all shingles of all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            sets = shingle_sets(batch_texts(b, "_text"), k)
+            h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+        if cells.any():
+            small = np.minimum(cells, 65535).astype("<u2")
+            parts = [small[i : i + (1 << SLICE_BITS)].tobytes() for i in range(0, 1 << CELL_BITS, 1 << SLICE_BITS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "cells"])
+
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << SLICE_BITS, np.int64)
+        for b in batches:
+            for raw in b.column(1):
+                out += np.frombuffer(raw.as_py(), "<u2")
+        classes = np.floor(2 * np.log2(np.maximum(out, 1))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["slice", "cells"])
+
+    kinds = "slice int, cells binary"
+    got = docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(count, kinds).groupBy("slice").applyInArrow(total, kinds).collect()
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for r in got:
+        out[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(r["cells"], np.uint8)
+    return out
+
+
+def prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under an order, as many as a similar set cannot all lack."""
+    n = len(shingles)
+    p = n - (percent * n + 99) // 100 + 1
+    place = mix(shingles, 11 + order)
+    if order < MORE_ORDERS:  # the last order is a hash alone
+        place = (classes[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (place >> np.uint64(8))
+    return shingles[np.argpartition(place, p - 1)[:p]] if p < n else shingles
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """A hash of the whole set."""
+    return int(mix(np.array([shingles.sum(dtype=np.uint64) ^ np.uint64(len(shingles)), np.bitwise_xor.reduce(mix(shingles, 3))]), 5).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes allow the similarity."""
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
+    flat = flat.view(np.int64) if kind == pa.int64() else (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(_node, _label: the least node of its component) of all nodes of the links (_a, _b)."""
+    both = stored(links.select(F.col("_a").alias("_node"), F.col("_b").alias("_other")).union(links.select(F.col("_b").alias("_node"), F.col("_a").alias("_other"))).distinct(), "links")
+    label = stored(both.groupBy("_node").agg(F.least("_node", F.min("_other")).alias("_label")), "labels")
+    while True:
+        other = label.select(F.col("_node").alias("_other"), F.col("_label").alias("_theirs"))
+        near = both.join(other, "_other").groupBy("_node").agg(F.min("_theirs").alias("_near"))
+        lower = label.join(near, "_node").select("_node", F.least("_label", "_near").alias("_mid"), F.col("_label").alias("_old"))
+        jump = label.select(F.col("_node").alias("_mid"), F.col("_label").alias("_far"))
+        nxt = stored(lower.join(jump, "_mid").select("_node", F.least("_mid", "_far").alias("_label"), "_old"), "labels")
+        if nxt.where("_label < _old").isEmpty():
+            return nxt.select("_node", "_label")
+        label = nxt.select("_node", "_label")
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id: the least id that links reach) of every row; sets link at Jaccard ``percent`` / 100."""
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    kind = src.schema["_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    classes = spark.sparkContext.broadcast(frequency_table(docs, k, text_col))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(batch_texts(b, "_text"), k)
+            keys = [set_key(s) if len(s) else None for s in sets]
+            first = [prefix(s, classes.value, 0, percent) if len(s) else s for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_n", "_key", "_prefix"])
+
+    rows = stored(src.mapInArrow(describe, f"_id {kind}, _n long, _key long, _prefix array<long>"), "join-sets")
+    kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.first("_prefix").alias("_prefix"))
+    kinds = stored(kinds, "join-classes")
+
+    # buckets of the first order that hold two classes at least
+    dealt = kinds.select("_key", "_n", F.explode("_prefix").alias("_t"))
+    often = dealt.groupBy("_t").agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi")).where("_lo < _hi").select("_t")
+    buckets = stored(dealt.join(often, "_t").withColumn("_comp", F.col("_key")), "join-buckets")
+
+    # the other orders' prefixes (32 bits of each: more pairs may pass, none is lost) and the whole sets of classes in buckets
+    met = buckets.select("_key").distinct().join(kinds.select("_key", "_rep"), "_key").select(F.col("_rep").alias("_id"), F.col("_key").alias("_wanted"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                sets = shingle_sets(batch_texts(part, "_text"), k)
+                same = [i for i, (s, w) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if len(s) and set_key(s) == w]
+                sets = [sets[i] for i in same]
+                others = [_lists([prefix(s, classes.value, o, percent) for s in sets], pa.int32()) for o in range(1, MORE_ORDERS + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), *others, _lists(sets, pa.int64())], names=names)
+
+    names = ["_key", *(f"_p{o}" for o in range(1, MORE_ORDERS + 1)), "_set"]
+    table = ", ".join(["_key long", *(f"_p{o} array<int>" for o in range(1, MORE_ORDERS + 1)), "_set array<long>"])
+    sets = stored(src.join(met, "_id").select("_text", "_wanted").mapInArrow(spread, table), "join-whole-sets")
+
+    def side(name: str, columns: list[str]) -> DataFrame:
+        return sets.select(F.col("_key").alias(name), *(F.col(c).alias(name + c) for c in columns))
+
+    orders = [f"_p{o}" for o in range(1, MORE_ORDERS + 1)]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (_a, _b) that link, by the other orders' filters and then the whole sets."""
+        likely = pairs.join(side("_a", orders), "_a").join(side("_b", orders), "_b")
+        for o in orders:
+            likely = likely.where(F.arrays_overlap("_a" + o, "_b" + o))
+        likely = stored(likely.select("_a", "_b"), "join-candidates")
+        whole = likely.join(side("_a", ["_set"]), "_a").join(side("_b", ["_set"]), "_b")
+        common = F.size(F.array_intersect("_a_set", "_b_set"))
+        return whole.where(common * 100 >= (F.size("_a_set") + F.size("_b_set") - common) * percent).select("_a", "_b").distinct()
+
+    def joined(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+        """The buckets after the links' components have become one; whether there were links."""
+        links = stored(links, "join-links")
+        if links.isEmpty():
+            return buckets, False
+        new = connected(links).select(F.col("_node").alias("_comp"), F.col("_label"))
+        moved = buckets.join(new, "_comp", "left").select("_t", "_key", "_n", F.coalesce("_label", "_comp").alias("_comp"))
+        return stored(moved, "join-buckets"), True
+
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs (_a, _b) of different components in a bucket whose sizes fit, with the components (_ca, _cb)."""
+        r = right.select("_t", F.col("_key").alias("_rk"), F.col("_n").alias("_rn"), F.col("_comp").alias("_rc"))
+        both = left.join(r, "_t").where((F.col("_comp") != F.col("_rc")) & _fits("_n", "_rn", percent))
+        up = F.col("_key") < F.col("_rk")
+        return both.select(F.when(up, F.col("_key")).otherwise(F.col("_rk")).alias("_a"), F.when(up, F.col("_rk")).otherwise(F.col("_key")).alias("_b")).distinct()
+
+    def component_links(links: DataFrame, buckets: DataFrame) -> DataFrame:
+        of = buckets.select("_key", "_comp").distinct()
+        a, b = (of.select(F.col("_key").alias(x), F.col("_comp").alias(x + "c")) for x in ("_a", "_b"))
+        return links.join(a, "_a").join(b, "_b").where("_ac != _bc").select(F.col("_ac").alias("_a"), F.col("_bc").alias("_b")).distinct()
+
+    for r in range(ROUNDS):
+        open_ones = buckets.groupBy("_t").agg(F.min_by(F.struct("_key", "_n", "_comp"), F.xxhash64(F.lit(r), "_key")).alias("_m"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi")
+        member = open_ones.select("_t", "_m._key", "_m._n", "_m._comp")
+        buckets, any_link = joined(buckets, component_links(verified(pairs_of(buckets, member)), buckets))
+        if not any_link:
+            break
+    # all pairs of different components: in each bucket, the members outside its largest component meet all
+    sizes = buckets.groupBy("_t", "_comp").agg(F.count(F.lit(1)).alias("_size")).groupBy("_t").agg(F.max_by("_comp", F.struct("_size", "_comp")).alias("_major"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
+    minor = buckets.join(sizes, "_t").where("_comp != _major").select("_t", "_key", "_n", "_comp")
+    buckets, _ = joined(buckets, component_links(verified(pairs_of(minor, buckets)), buckets))
+
+    of_class = buckets.select("_key", "_comp").distinct().join(kinds.select("_key", "_rep"), "_key")
+    least = of_class.groupBy("_comp").agg(F.min("_rep").alias("_least"))
+    found = of_class.join(least, "_comp").select("_key", "_least")
+    final = kinds.select("_key", "_rep").join(found, "_key", "left").select("_key", F.coalesce("_least", "_rep").alias("_component"))
+    out = rows.select("_id", "_n", "_key").join(final, "_key", "left")
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that represent their component, once each; rows without an id stay."""
+    found = components(docs, k, percent, id_col, text_col)
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -37,7 +37,7 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), length=200))
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,328 @@
+"""Suffix-array dedup: repeated byte strings by merging Burrows-Wheeler transforms.
+
+1. Sharding by content. Each string of ``length`` bytes chooses a place in its first
+   ``WINDOW`` bytes (the 8-byte gram of least hash), so equal strings choose alike. Strings
+   that choose one place of a text form a context; contexts meet by the hash of what all
+   strings of the place share. A context that meets no other is unique; contexts that are
+   all equal repeat whole. Only mixed groups go on, each distinct context once with its count.
+2. Burrows-Wheeler transforms. In a bucket of groups, symbols are the hashes of ``length / D``
+   bytes, and every residue of a context is a string of such symbols. Each shard of the
+   bucket sorts its own suffixes and keeps its transform (the symbol before each suffix).
+3. Merge. The interleave of the shards' rows is refined ``D`` times: walking it in order, each
+   row goes to the bucket of its preceding symbol. The round in which neighbours part is
+   their common prefix; no suffix is sorted again. Intervals that ``D`` rounds leave whole are
+   the repeated strings.
+
+Groups of more than ``HOT_CONTEXTS`` distinct contexts are not gathered in a task: their
+strings are counted one by one by hash, which gives the same answer.
+
+Defined results: null texts are empty; texts shorter than ``length`` keep all bytes; equal
+rows (copies of a text) repeat each other; ties don't exist; an empty table gives an empty
+one; other columns are kept untouched, work columns start with an underscore. Strings are
+compared by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Rolling, batch_texts, slices, stored
+
+GRAM, WINDOW = 8, 128
+#: Bytes of contexts that one merge takes; shards of a merge; contexts of a group beyond which strings are counted by hash.
+BUCKET_BYTES, SHARDS, HOT_CONTEXTS = 1_000_000, 4, 20_000
+
+
+def places(roll: Rolling, n_bytes: int, window: int) -> np.ndarray:
+    """For each start of a run of ``window`` grams, the place of the gram of least hash (the first, if equal)."""
+    n = n_bytes - GRAM + 1
+    if n < window:
+        return np.empty(0, np.int64)
+    at = np.arange(n)
+    low = np.uint64(0xFFFFFF)
+    least = (roll.spans(at, at + GRAM) & ~low) | (at.astype(np.uint64) & low)
+    span = 1
+    while span * 2 <= window:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    m = n - window + 1
+    if span < window:
+        least = np.minimum(least[:m], least[window - span : window - span + m])
+    start = np.arange(m)
+    return start + (((least & low).astype(np.int64) - start) & 0xFFFFFF)
+
+
+def contexts(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(text, left, last, key, content hash) of the texts' contexts: strings beginning at left..last choose one place."""
+    window = min(WINDOW, length - GRAM)
+    sizes = np.array([len(t) for t in run])
+    data = np.frombuffer(b"".join(run), np.uint8)
+    ends = np.cumsum(sizes)
+    roll = Rolling(data)
+    place = places(roll, len(data), window)
+    start = np.arange(len(place))
+    text = np.minimum(np.searchsorted(ends, start, side="right"), len(run) - 1)
+    inside = start + length <= ends[text]
+    start, place, text = start[inside], place[inside], text[inside]
+    first = np.flatnonzero(np.diff(place, prepend=-1) != 0)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    left, right, place, text = start[first], start[last], place[first], text[first]
+    base = (ends - sizes)[text]
+    key = roll.spans(place, place + length - window + 1)
+    content = roll.spans(left, right + length)
+    return text, left - base, right - base, key, content
+
+
+def symbols(length: int) -> tuple[int, int]:
+    """(bytes of a symbol, symbols of a string)."""
+    d = max(d for d in (1, 2, 3, 4) if length % d == 0)
+    return length // d, d
+
+
+def transform(code: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's transform: (preceding code of each sorted row, row of each; -1: the end of a string).
+
+    ``code`` is over 0, ``after`` the row that follows each or -1. Ends sort first, in the order of their strings.
+    """
+    n = len(code)
+    rank, step = code.astype(np.int64), after.copy()
+    while True:
+        follow = np.where(step >= 0, rank[step] + 1, 0)
+        _, rank = np.unique(rank * (follow.max(initial=0) + 1) + follow, return_inverse=True)
+        if not (step >= 0).any():
+            break
+        step = np.where(step >= 0, step[step], -1)
+    order = np.argsort(rank, kind="stable")
+    before = np.zeros(n, np.int64)
+    has = after >= 0
+    before[after[has]] = code[has]
+    return np.concatenate([code[~has], before[order]]), np.concatenate([np.full(int((~has).sum()), -1), order])
+
+
+def merge(tables: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave refinement of transforms: (shard of each merged row, symbols it shares with the row before, ``depth`` at most)."""
+    sizes = [len(t) for t in tables]
+    all_codes = np.concatenate(tables)
+    n = len(all_codes)
+    ends = np.concatenate([np.full(int((t == 0).sum()), s) for s, t in enumerate(tables)])
+    interleave = np.repeat(np.arange(len(tables), dtype=np.int8), sizes)
+    block = np.zeros(n, np.int64)
+    common = np.full(n, depth, np.int8)
+    for k in range(depth):
+        row = np.empty(n, np.int64)
+        row[np.argsort(interleave, kind="stable")] = np.arange(n)
+        code = all_codes[row]
+        order = np.argsort(code, kind="stable")
+        code, origin = code[order], block[order]
+        interleave = interleave[order]
+        interleave[: len(ends)] = ends
+        parts = np.ones(n, bool)
+        parts[1:] = (code[1:] != code[:-1]) | (origin[1:] != origin[:-1])
+        parts[: len(ends)] = True
+        common[parts & (common == depth)] = k
+        block = np.cumsum(parts)
+    return interleave, common
+
+
+def repeated_starts(strings: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` bytes at each byte of the joined ``strings`` occurs elsewhere in them; each stands ``counts`` times."""
+    q, depth = symbols(length)
+    sizes = np.array([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    n = len(data)
+    owner = np.repeat(np.arange(len(strings)), sizes)
+    end = np.cumsum(sizes)[owner]
+    roll = Rolling(data)
+    at = np.flatnonzero(np.arange(n) + q <= end)
+    kinds, code = np.unique(roll.spans(at, at + q), return_inverse=True)
+    often = np.bincount(code, weights=counts[owner[at]], minlength=len(kinds)) > 1
+    live = np.zeros(n + length, bool)
+    live[at] = often[code]
+    whole = np.arange(n) + length <= end
+    for j in range(depth):
+        whole &= live[j * q : j * q + n]
+    keep = np.zeros(n + length, bool)
+    for j in range(depth):
+        keep[j * q : j * q + n] |= whole
+    rows = np.flatnonzero(keep[:n])
+    out = np.zeros(n, bool)
+    if not len(rows):
+        return out
+    place = np.full(n + length, -1, np.int64)
+    place[at] = code + 1
+    row_code = place[rows]
+    number = np.full(n + length, -1, np.int64)
+    number[rows] = np.arange(len(rows))
+    after = number[rows + q]
+    after[(after >= 0) & (owner[np.minimum(rows + q, n - 1)] != owner[rows])] = -1
+    # shards: runs of whole strings
+    cuts = np.searchsorted(owner[rows], np.linspace(0, len(strings), SHARDS + 1).astype(int))
+    tables, suffixes = [], []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi > lo:
+            t, s = transform(row_code[lo:hi], np.where(after[lo:hi] >= 0, after[lo:hi] - lo, -1))
+            tables.append(t)
+            suffixes.append(np.where(s >= 0, s + lo, -1))
+    interleave, common = merge(tables, depth)
+    suffix = np.empty(len(interleave), np.int64)
+    suffix[np.argsort(interleave, kind="stable")] = np.concatenate(suffixes)
+    interval = np.cumsum(common < depth) - 1
+    weight = np.where(suffix >= 0, counts[owner[rows[np.maximum(suffix, 0)]]], 0)
+    found = (np.bincount(interval, weights=weight)[interval] > 1) & (suffix >= 0)
+    hits = rows[suffix[found]]
+    out[hits] = True
+    return out & whole
+
+
+def _runs(flags: np.ndarray) -> list[dict[str, int]]:
+    """Runs of true flags, as {a: first, b: last}."""
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return [{"a": int(a), "b": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
+    """(_text_id, _spans: sorted begin and end bytes of strings that start elsewhere too) of texts that have some."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be {2 * GRAM} at least")
+    texts = with_text_id(docs, text_col).select("_text_id", "_bytes")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.array(b.column(0))
+            for first, run in slices(batch_texts(b, "_bytes")):
+                text, left, last, key, content = contexts(run, length)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + text]), pa.array(left.astype(np.int32)), pa.array(last.astype(np.int32)), _long(key), _long(content)], names=["_text_id", "_left", "_last", "_key", "_content"])
+
+    rows = texts.mapInArrow(find, "_text_id long, _left int, _last int, _key long, _content long")
+    shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_content").alias("_lo"), F.max("_content").alias("_hi")).where("_n > 1")
+    met = stored(rows.join(shared.select("_key", (F.col("_lo") != F.col("_hi")).alias("_mixed")), "_key"), "suffix-contexts")
+
+    distinct = met.where("_mixed").groupBy("_key", "_content").agg(F.count(F.lit(1)).alias("_count"), F.min(F.struct("_text_id", "_left", "_last")).alias("_at"))
+    hot = distinct.groupBy("_key").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > HOT_CONTEXTS).select("_key", F.lit(True).alias("_hot"))
+    wanted = distinct.join(hot, "_key", "left").select(F.col("_at._text_id").alias("_text_id"), F.struct(F.col("_at._left").alias("l"), F.col("_at._last").alias("r"), F.col("_key").alias("k"), F.col("_content").alias("c"), F.col("_count").alias("n"), F.coalesce("_hot", F.lit(False)).alias("h")).alias("_w"))
+    wanted = wanted.groupBy("_text_id").agg(F.collect_list("_w").alias("_w"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, want in zip(b.column(0), b.column(1), strict=True):
+                t, w = text.as_py(), want.values.flatten()
+                left, last = np.array(w[0]), np.array(w[1])
+                yield pa.RecordBatch.from_arrays([w[2], w[3], w[4], w[5], pa.array([t[x:y] for x, y in zip(left.tolist(), (last + length).tolist(), strict=True)], pa.binary())], names=["_key", "_content", "_count", "_hot", "_string"])
+
+    one_each = texts.groupBy("_text_id").agg(F.first("_bytes").alias("_bytes"))
+    strings = stored(one_each.join(wanted, "_text_id").select("_bytes", "_w").mapInArrow(cut, "_key long, _content long, _count long, _hot boolean, _string binary"), "suffix-strings")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def solve() -> pa.RecordBatch:
+            flags = repeated_starts([h[3] for h in held], np.array([h[2] for h in held]), length)
+            ends = np.cumsum([len(h[3]) for h in held])
+            found = [_runs(flags[e - len(h[3]) : e]) for h, e in zip(held, ends.tolist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(found, runs_type)], names=["_key", "_content", "_runs"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size > BUCKET_BYTES and row[0] != held[-1][0]:
+                    yield solve()
+                    size = 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield solve()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, content, count, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = np.arange(len(s) - length + 1)
+                h = Rolling(np.frombuffer(s, np.uint8)).spans(at, at + length)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([content] * len(at), pa.int64()), pa.array([count] * len(at), pa.int64()), pa.array(at.astype(np.int32)), _long(h)], names=["_key", "_content", "_count", "_a", "_hash"])
+
+    runs_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    fields = ("_key", "_content", "_count", "_string")
+    cold = strings.where("NOT _hot").select(*fields).repartition(n, "_key").sortWithinPartitions("_key", "_content").mapInArrow(search, "_key long, _content long, _runs array<struct<a:int,b:int>>").select("_key", "_content", F.explode("_runs").alias("_run")).select("_key", "_content", "_run.a", "_run.b")
+    single = strings.where("_hot").select(*fields).mapInArrow(each, "_key long, _content long, _count long, _a int, _hash long")
+    again = single.groupBy("_hash").agg(F.sum("_count").alias("_n")).where("_n > 1").select("_hash")
+    warm = single.join(again, "_hash").select("_key", "_content", F.col("_a").alias("a"), F.col("_a").alias("b"))
+
+    mixed = met.where("_mixed").join(cold.unionByName(warm), ["_key", "_content"]).select("_text_id", (F.col("_left") + F.col("a")).alias("a"), (F.col("_left") + F.col("b") + length).alias("b"))
+    plain = met.where("NOT _mixed").select("_text_id", F.col("_left").alias("a"), (F.col("_last") + length).alias("b"))
+    return plain.unionByName(mixed).groupBy("_text_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("_spans"))
+
+
+def with_text_id(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with _bytes (null: empty) and _text_id, a hash of them."""
+    data = docs.withColumn("_bytes", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    return data.withColumn("_text_id", F.xxhash64("_bytes"))
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of sorted spans; spans that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(data[at:a])
+        at = b
+    return b"".join([*parts, data[at:]])
+
+
+def _spans_of(value: pa.Scalar) -> list[tuple[int, int]]:
+    if not value.is_valid:
+        return []
+    a, b = value.values.flatten()
+    return united(list(zip(a.to_pylist(), b.to_pylist(), strict=True)))
+
+
+def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, value in zip(b.column(1), b.column(2), strict=True):
+                data, spans = text.as_py(), _spans_of(value)
+                rows.append((len(data), sum(y - x for x, y in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, pa.string()], strict=True))], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    src = with_text_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    joined = src.join(repeated_spans(docs, length, text_col), "_text_id", "left").select("_id", "_bytes", "_spans")
+    return joined.mapInArrow(step, f"_id {src.schema['_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_id", id_col)
+
+
+def apply(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut from the text; halves of cut characters go too. Other columns are untouched."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if not x.is_valid else kept(x.as_py(), _spans_of(s)).decode("utf-8", "ignore") for x, s in zip(b.column(at).cast(pa.binary()), b.column(len(b.columns) - 1), strict=True)]
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+
+    at = docs.columns.index(text_col)
+    joined = with_text_id(docs, text_col).join(repeated_spans(docs, length, text_col), "_text_id", "left").select(*docs.columns, "_spans")
+    return joined.mapInArrow(step, docs.schema)

@@ -321,8 +321,8 @@ def apply(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFra
         for b in batches:
             texts = [None if not x.is_valid else kept(x.as_py(), _spans_of(s)).decode("utf-8", "ignore") for x, s in zip(b.column(at).cast(pa.binary()), b.column(len(b.columns) - 1), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
     joined = with_text_id(docs, text_col).join(repeated_spans(docs, length, text_col), "_text_id", "left").select(*docs.columns, "_spans")
     return joined.mapInArrow(step, docs.schema)

@@ -1,0 +1 @@
+"""Expressions, typed attributes and finders: the query surface."""

@@ -1,0 +1 @@
+"""From queries to DataFrames, and the catalogue of registered queries."""

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by filters under several global orders of the shingles.
 
 If two sets are similar enough, they share a shingle among the first few of each, whatever
-the global order. The first order (estimated frequency, then a hash) deals documents to
+the global order, and from the first one on have enough left to share. The first order (estimated frequency, then a hash) deals documents to
 buckets; a pair of a bucket goes on to verification only if it also shares a prefix
 shingle under each of the other orders (other hashes within frequency classes, and a hash
 alone). Frequencies come from a table of fixed size that counts every shingle of every
@@ -28,50 +28,84 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, mix, shingle_sets, stored
+from .common import batch_texts, discard, mix, shingle_sets, stored
 
-#: Cells of the frequency table (2 MB as broadcast) and of one slice of it; orders beside the first; rounds of one-member meetings.
-CELL_BITS, SLICE_BITS, MORE_ORDERS, ROUNDS = 21, 16, 2, 3
+#: Largest frequency table (2**27 cells of 2 bits: 32 MB as broadcast), and cells of one slice of it; text bytes for each cell.
+MAX_CELL_BITS, SLICE_BITS, CELL_BYTES = 27, 16, 8
+#: Orders beside the first; rounds of one-member meetings; members of a bucket that meet at once; rows worked on at once.
+MORE_ORDERS, ROUNDS, SMALL, ROWS = 2, 3, 8, 500
+
+
+def in_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(lo, ROWS) for lo in range(0, batch.num_rows, ROWS))
+
+
+def gaps_of(cells: np.ndarray) -> bytes:
+    """Sorted cells of a slice as bytes: each a gap to the one before, 255 for 255 cells skipped."""
+    gap = np.diff(cells, prepend=0)
+    out = np.full(len(gap) + int((gap // 255).sum()), 255, np.uint8)
+    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+def cells_of(gaps: bytes) -> np.ndarray:
+    g = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(g, dtype=np.int64)[g < 255]
 
 
 def frequency_table(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
-    """Class (half powers of two) of the count of each cell, over all shingles of all documents."""
+    """Classes of the counts of the table's cells, four to a byte, over all shingles of all documents.
+
+    The classes part once-met, twice-met, common and very common cells, relative to the mean count. The table grows
+    with the texts up to 2**MAX_CELL_BITS cells.
+    """
+    total_bytes = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).collect()[0]["n"] or 0
+    bits = min(MAX_CELL_BITS, max(SLICE_BITS, int(total_bytes // CELL_BYTES).bit_length()))
+    mean = total_bytes / 7 / (1 << bits)
+    limits = np.array([max(1, mean), max(2, 1.5 * mean), max(24, 4 * mean)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
-            sets = shingle_sets(batch_texts(b, "_text"), k)
-            h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        if cells.any():
-            small = np.minimum(cells, 65535).astype("<u2")
-            parts = [small[i : i + (1 << SLICE_BITS)].tobytes() for i in range(0, 1 << CELL_BITS, 1 << SLICE_BITS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "cells"])
+            for lo in range(0, b.num_rows, 4 * ROWS):
+                found = [np.concatenate(shingle_sets(batch_texts(part, "_text"), k)) for part in in_rows(b.slice(lo, 4 * ROWS))]
+                cells = np.sort(np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << SLICE_BITS))
+                used = np.flatnonzero(np.diff(cuts))
+                parts = [gaps_of(cells[cuts[i] : cuts[i + 1]] - (i << SLICE_BITS)) for i in used.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "cells"])
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(1 << SLICE_BITS, np.int64)
         for b in batches:
             for raw in b.column(1):
-                out += np.frombuffer(raw.as_py(), "<u2")
-        classes = np.floor(2 * np.log2(np.maximum(out, 1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["slice", "cells"])
+                out += np.bincount(cells_of(raw.as_py()), minlength=1 << SLICE_BITS)
+        c = np.searchsorted(limits, out).astype(np.uint8).reshape(-1, 4)
+        packed = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["slice", "cells"])
 
     kinds = "slice int, cells binary"
-    got = docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(count, kinds).groupBy("slice").applyInArrow(total, kinds).collect()
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in got:
-        out[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(r["cells"], np.uint8)
+    got = docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(count, kinds).groupBy("slice").applyInArrow(total, kinds)
+    out = np.zeros(1 << (bits - 2), np.uint8)
+    size = 1 << (SLICE_BITS - 2)
+    for r in got.collect():
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
     return out
 
 
+def class_of(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
+    cell = shingles >> np.uint64(63 - len(table).bit_length())
+    return table[(cell >> np.uint64(2)).astype(np.int64)] >> (2 * (cell & np.uint64(3))).astype(np.uint8) & 3
+
+
 def prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first shingles of a set under an order, as many as a similar set cannot all lack."""
     n = len(shingles)
     p = n - (percent * n + 99) // 100 + 1
     place = mix(shingles, 11 + order)
     if order < MORE_ORDERS:  # the last order is a hash alone
-        place = (classes[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (place >> np.uint64(8))
-    return shingles[np.argpartition(place, p - 1)[:p]] if p < n else shingles
+        place = (class_of(shingles, classes).astype(np.uint64) << np.uint64(56)) | (place >> np.uint64(8))
+    first = np.argpartition(place, p - 1)[:p] if p < n else np.arange(n)
+    return shingles[first[np.argsort(place[first])]]
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -79,9 +113,13 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([shingles.sum(dtype=np.uint64) ^ np.uint64(len(shingles)), np.bitwise_xor.reduce(mix(shingles, 3))]), 5).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Whether the sizes allow the similarity."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _fits(percent: int) -> Column:
+    """Whether the sizes (_n, _rn) allow the similarity, and what is left of the sets from the common shingle on (_m, _rm).
+
+    The second test holds at a linked pair's first common shingle, and the pair meets there too.
+    """
+    by_size = (F.col("_n") * 100 >= F.col("_rn") * percent) & (F.col("_rn") * 100 >= F.col("_n") * percent)
+    return by_size & (F.least("_m", "_rm") * (100 + percent) >= (F.col("_n") + F.col("_rn")) * percent)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -101,9 +139,11 @@ def connected(links: DataFrame) -> DataFrame:
         lower = label.join(near, "_node").select("_node", F.least("_label", "_near").alias("_mid"), F.col("_label").alias("_old"))
         jump = label.select(F.col("_node").alias("_mid"), F.col("_label").alias("_far"))
         nxt = stored(lower.join(jump, "_mid").select("_node", F.least("_mid", "_far").alias("_label"), "_old"), "labels")
+        discard(label)
+        label = nxt
         if nxt.where("_label < _old").isEmpty():
+            discard(both)
             return nxt.select("_node", "_label")
-        label = nxt.select("_node", "_label")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,28 +154,31 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     classes = spark.sparkContext.broadcast(frequency_table(docs, k, text_col))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in in_rows(whole)):
             sets = shingle_sets(batch_texts(b, "_text"), k)
             keys = [set_key(s) if len(s) else None for s in sets]
             first = [prefix(s, classes.value, 0, percent) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_n", "_key", "_prefix"])
 
     rows = stored(src.mapInArrow(describe, f"_id {kind}, _n long, _key long, _prefix array<long>"), "join-sets")
-    kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.first("_prefix").alias("_prefix"))
+    kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_prefix").alias("_prefix"))
     kinds = stored(kinds, "join-classes")
+    rows, with_prefix = stored(rows.select("_id", "_n", "_key"), "join-rows"), rows
+    discard(with_prefix)
 
     # buckets of the first order that hold two classes at least
-    dealt = kinds.select("_key", "_n", F.explode("_prefix").alias("_t"))
-    often = dealt.groupBy("_t").agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi")).where("_lo < _hi").select("_t")
-    buckets = stored(dealt.join(often, "_t").withColumn("_comp", F.col("_key")), "join-buckets")
+    dealt = kinds.select("_key", "_n", "_copies", F.posexplode("_prefix").alias("_at", "_t"))
+    often = dealt.groupBy("_t").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    shared = stored(dealt.join(often, "_t").select("_t", "_key", "_n", (F.col("_n") - F.col("_at")).alias("_m"), "_copies", F.col("_key").alias("_comp"), "_size"), "join-shared")
+    kinds, with_prefix = stored(kinds.select("_key", "_n", "_rep"), "join-classes"), kinds
+    discard(with_prefix)
 
     # the other orders' prefixes (32 bits of each: more pairs may pass, none is lost) and the whole sets of classes in buckets
-    met = buckets.select("_key").distinct().join(kinds.select("_key", "_rep"), "_key").select(F.col("_rep").alias("_id"), F.col("_key").alias("_wanted"))
+    met = shared.select("_key").distinct().join(kinds.select("_key", "_rep"), "_key").select(F.col("_rep").alias("_id"), F.col("_key").alias("_wanted"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for part in in_rows(b):
                 sets = shingle_sets(batch_texts(part, "_text"), k)
                 same = [i for i, (s, w) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if len(s) and set_key(s) == w]
                 sets = [sets[i] for i in same]
@@ -161,19 +204,24 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         common = F.size(F.array_intersect("_a_set", "_b_set"))
         return whole.where(common * 100 >= (F.size("_a_set") + F.size("_b_set") - common) * percent).select("_a", "_b").distinct()
 
+    all_links: list[DataFrame] = []
+
     def joined(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-        """The buckets after the links' components have become one; whether there were links."""
-        links = stored(links, "join-links")
-        if links.isEmpty():
+        """The buckets after the components that the links (of classes) join have become one; whether any were joined."""
+        all_links.append(stored(links, "join-links"))
+        between = stored(component_links(all_links[-1], buckets), "join-components")
+        if between.isEmpty():
             return buckets, False
-        new = connected(links).select(F.col("_node").alias("_comp"), F.col("_label"))
-        moved = buckets.join(new, "_comp", "left").select("_t", "_key", "_n", F.coalesce("_label", "_comp").alias("_comp"))
-        return stored(moved, "join-buckets"), True
+        new = connected(between).select(F.col("_node").alias("_comp"), F.col("_label"))
+        moved = buckets.join(new, "_comp", "left").select("_t", "_key", "_n", "_m", "_copies", F.coalesce("_label", "_comp").alias("_comp"))
+        after = stored(moved, "join-buckets")
+        discard(buckets)
+        return after, True
 
     def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs (_a, _b) of different components in a bucket whose sizes fit, with the components (_ca, _cb)."""
-        r = right.select("_t", F.col("_key").alias("_rk"), F.col("_n").alias("_rn"), F.col("_comp").alias("_rc"))
-        both = left.join(r, "_t").where((F.col("_comp") != F.col("_rc")) & _fits("_n", "_rn", percent))
+        r = right.select("_t", F.col("_key").alias("_rk"), F.col("_n").alias("_rn"), F.col("_m").alias("_rm"), F.col("_comp").alias("_rc"))
+        both = left.join(r, "_t").where((F.col("_comp") != F.col("_rc")) & _fits(percent))
         up = F.col("_key") < F.col("_rk")
         return both.select(F.when(up, F.col("_key")).otherwise(F.col("_rk")).alias("_a"), F.when(up, F.col("_rk")).otherwise(F.col("_key")).alias("_b")).distinct()
 
@@ -182,18 +230,27 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         a, b = (of.select(F.col("_key").alias(x), F.col("_comp").alias(x + "c")) for x in ("_a", "_b"))
         return links.join(a, "_a").join(b, "_b").where("_ac != _bc").select(F.col("_ac").alias("_a"), F.col("_bc").alias("_b")).distinct()
 
+    # buckets of few members: all their pairs at once; larger ones start with the components that these links make
+    small = shared.where(F.col("_size") <= SMALL)
+    all_links.append(stored(verified(pairs_of(small, small)), "join-links"))
+    large = shared.where(F.col("_size") > SMALL)
+    known = connected(all_links[0]).select(F.col("_node").alias("_key"), F.col("_label"))
+    buckets = stored(large.join(known, "_key", "left").select("_t", "_key", "_n", "_m", "_copies", F.coalesce("_label", "_comp").alias("_comp")), "join-buckets")
     for r in range(ROUNDS):
-        open_ones = buckets.groupBy("_t").agg(F.min_by(F.struct("_key", "_n", "_comp"), F.xxhash64(F.lit(r), "_key")).alias("_m"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi")
-        member = open_ones.select("_t", "_m._key", "_m._n", "_m._comp")
-        buckets, any_link = joined(buckets, component_links(verified(pairs_of(buckets, member)), buckets))
+        open_ones = buckets.groupBy("_t").agg(F.max_by(F.struct("_key", "_n", "_m", "_comp"), F.struct(F.col("_copies") if r == 0 else F.lit(0), F.xxhash64(F.lit(r), "_key"))).alias("_one"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi")
+        member = open_ones.select("_t", "_one._key", "_one._n", "_one._m", "_one._comp")
+        buckets, any_link = joined(buckets, verified(pairs_of(buckets, member)))
         if not any_link:
             break
     # all pairs of different components: in each bucket, the members outside its largest component meet all
     sizes = buckets.groupBy("_t", "_comp").agg(F.count(F.lit(1)).alias("_size")).groupBy("_t").agg(F.max_by("_comp", F.struct("_size", "_comp")).alias("_major"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
-    minor = buckets.join(sizes, "_t").where("_comp != _major").select("_t", "_key", "_n", "_comp")
-    buckets, _ = joined(buckets, component_links(verified(pairs_of(minor, buckets)), buckets))
+    minor = buckets.join(sizes, "_t").where("_comp != _major").select("_t", "_key", "_n", "_m", "_comp")
+    all_links.append(stored(verified(pairs_of(minor, buckets)), "join-links"))
 
-    of_class = buckets.select("_key", "_comp").distinct().join(kinds.select("_key", "_rep"), "_key")
+    every = all_links[0]
+    for links in all_links[1:]:
+        every = every.unionByName(links)
+    of_class = connected(every).select(F.col("_node").alias("_key"), F.col("_label").alias("_comp")).join(kinds.select("_key", "_rep"), "_key")
     least = of_class.groupBy("_comp").agg(F.min("_rep").alias("_least"))
     found = of_class.join(least, "_comp").select("_key", "_least")
     final = kinds.select("_key", "_rep").join(found, "_key", "left").select("_key", F.coalesce("_least", "_rep").alias("_component"))

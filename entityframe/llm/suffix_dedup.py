@@ -79,6 +79,20 @@ def contexts(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text, left - base, right - base, key, content
 
 
+def collapsed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """(one context of each content in a text, how often it stands there, the bytes that all its places cover if it is repeated there)."""
+    order = np.lexsort((begin, content, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (content[order][1:] != content[order][:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    more: list = [None] * len(first)
+    for i in np.flatnonzero(count > 1).tolist():
+        at = order[first[i] : first[i] + count[i]]
+        more[i] = [x for span in united(list(zip(begin[at].tolist(), end[at].tolist(), strict=True))) for x in span]
+    return order[first], count, more
+
+
 def symbols(length: int) -> tuple[int, int]:
     """(bytes of a symbol, symbols of a string)."""
     d = max(d for d in (1, 2, 3, 4) if length % d == 0)
@@ -203,13 +217,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
             ids = np.array(b.column(0))
             for first, run in slices(batch_texts(b, "_bytes")):
                 text, left, last, key, content = contexts(run, length)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + text]), pa.array(left.astype(np.int32)), pa.array(last.astype(np.int32)), _long(key), _long(content)], names=["_text_id", "_left", "_last", "_key", "_content"])
+                one, count, more = collapsed(text, left, last + length, content)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + text[one]]), pa.array(left[one].astype(np.int32)), pa.array(last[one].astype(np.int32)), _long(key[one]), _long(content[one]), pa.array(count), pa.array(more, pa.list_(pa.int32()))], names=["_text_id", "_left", "_last", "_key", "_content", "_times", "_more"])
 
-    rows = texts.mapInArrow(find, "_text_id long, _left int, _last int, _key long, _content long")
-    shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_content").alias("_lo"), F.max("_content").alias("_hi")).where("_n > 1")
+    rows = texts.mapInArrow(find, "_text_id long, _left int, _last int, _key long, _content long, _times long, _more array<int>")
+    shared = rows.groupBy("_key").agg(F.sum("_times").alias("_n"), F.min("_content").alias("_lo"), F.max("_content").alias("_hi")).where("_n > 1")
     met = stored(rows.join(shared.select("_key", (F.col("_lo") != F.col("_hi")).alias("_mixed")), "_key"), "suffix-contexts")
 
-    distinct = met.where("_mixed").groupBy("_key", "_content").agg(F.count(F.lit(1)).alias("_count"), F.min(F.struct("_text_id", "_left", "_last")).alias("_at"))
+    distinct = met.where("_mixed").groupBy("_key", "_content").agg(F.sum("_times").alias("_count"), F.min(F.struct("_text_id", "_left", "_last")).alias("_at"))
     hot = distinct.groupBy("_key").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > HOT_CONTEXTS).select("_key", F.lit(True).alias("_hot"))
     wanted = distinct.join(hot, "_key", "left").select(F.col("_at._text_id").alias("_text_id"), F.struct(F.col("_at._left").alias("l"), F.col("_at._last").alias("r"), F.col("_key").alias("k"), F.col("_content").alias("c"), F.col("_count").alias("n"), F.coalesce("_hot", F.lit(False)).alias("h")).alias("_w"))
     wanted = wanted.groupBy("_text_id").agg(F.collect_list("_w").alias("_w"))
@@ -262,7 +277,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
 
     mixed = met.where("_mixed").join(cold.unionByName(warm), ["_key", "_content"]).select("_text_id", (F.col("_left") + F.col("a")).alias("a"), (F.col("_left") + F.col("b") + length).alias("b"))
     plain = met.where("NOT _mixed").select("_text_id", F.col("_left").alias("a"), (F.col("_last") + length).alias("b"))
-    return plain.unionByName(mixed).groupBy("_text_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("_spans"))
+    ends = met.where("_more IS NOT NULL").select("_text_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_more") - 2, F.lit(2)), lambda i: F.struct(F.get("_more", i).alias("a"), F.get("_more", i + 1).alias("b")))).alias("_s")).select("_text_id", "_s.a", "_s.b")
+    return plain.unionByName(mixed).unionByName(ends).groupBy("_text_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("_spans"))
 
 
 def with_text_id(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers; the table starts anew beyond it.
-TABLE_WORDS = 400_000
-_WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words of a generation of a worker's table; the one before stays, and its words move up when met.
+TABLE_WORDS = 700_000
+#: White space of Unicode; the libraries' own classes differ in control characters.
+_W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Letters, numbers and white space of Latin-1, for texts that hold nothing else.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \u0085 "
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_ODD = re.compile("[\x1c-\x1f]")
 
 
 def split_words(text: str) -> list[str]:
@@ -40,8 +42,6 @@ def split_words(text: str) -> list[str]:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        if _ODD.search(text):  # control characters that one library counts as space and the other doesn't
-            return [p for part in regex.split("([\x1c-\x1f]+)", text) if part for p in ([part] if _ODD.match(part) else _WIDE.findall(part))]
         return _WIDE.findall(text)
     return _LATIN.findall(text)
 
@@ -81,6 +81,7 @@ class Vocabulary:
             self.token_bytes[i] = s.encode()
         self.splitter = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, ids in each word)."""
@@ -123,8 +124,6 @@ class Vocabulary:
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that the table lacks, many at a time."""
-        if len(self.table) + len(words) > TABLE_WORDS:
-            self.table.clear()
         for lo in range(0, len(words), 50_000):
             part = words[lo : lo + 50_000]
             ids, counts = self.merge_words([w.encode() for w in part])
@@ -146,14 +145,16 @@ class Vocabulary:
                 plans.append([p if p in self.special else split_words(p) for p in self.splitter.split(t) if p])
             else:
                 plans.append([split_words(t)])
-        missing = {w for plan in plans for part in plan if not isinstance(part, str) for w in part}
-        missing -= self.table.keys()
+        words = set(chain.from_iterable(part for plan in plans for part in plan if not isinstance(part, str)))
+        if len(self.table) > TABLE_WORDS:
+            self.older, self.table = self.table, {}
+        missing = words - self.table.keys()
+        if missing and self.older:
+            known = missing & self.older.keys()
+            self.table.update((w, self.older[w]) for w in known)
+            missing -= known
         if missing:
-            before = len(self.table)
             learn(list(missing))
-            if len(self.table) < before + len(missing):  # the table was cleared: fetch what these texts need
-                again = {w for plan in plans for part in plan if not isinstance(part, str) for w in part} - self.table.keys()
-                learn(list(again))
         get = self.table.__getitem__
         return [b"".join(b"".join(map(get, part)) if not isinstance(part, str) else self.special[part].to_bytes(4, "little") for part in plan) for plan in plans]
 

@@ -39,9 +39,9 @@ def pack(ids: np.ndarray) -> bytes:
         more = rest >> 8
         bits = more != 0
         packed = np.packbits(bits, bitorder="little")
-        padded = np.zeros(-(-len(bits) // STRIDE) * STRIDE, np.uint32)
-        padded[: len(bits)] = bits
-        ones = padded.reshape(-1, STRIDE).sum(axis=1)
+        padded = np.zeros(-(-len(packed) // (STRIDE // 8)) * (STRIDE // 8), np.uint8)
+        padded[: len(packed)] = packed
+        ones = np.bitwise_count(padded).reshape(-1, STRIDE // 8).sum(axis=1, dtype=np.int64)
         rank = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u4") if len(ones) else np.empty(0, "<u4")
         levels.append((len(rest), (rest & 255).astype(np.uint8).tobytes(), packed.tobytes(), rank.tobytes()))
         rest = more[bits]
@@ -112,13 +112,24 @@ def library_encoder(path: str):
         tok.no_padding()
         words = Vocabulary(path)
 
+        (line,) = tok.encode("\n", add_special_tokens=False).ids
+
         def learn(new: list[str]) -> None:
-            if len(words.table) + len(new) > 400_000:
-                words.table.clear()
-            for lo in range(0, len(new), 10_000):
-                part = new[lo : lo + 10_000]
-                for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-                    words.table[w] = np.array(e.ids, "<u4").tobytes()
+            # a line break parts words as the pre-tokenizer does, so that one call encodes many; white space goes alone
+            solid = [w for w in new if w.strip() and "\n" not in w]
+            for lo in range(0, len(solid), 50_000):
+                part = solid[lo : lo + 50_000]
+                ids = np.array(tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(ids == line)
+                if len(ends) != len(part) - 1:
+                    raise ValueError("the tokenizer doesn't part words at line breaks")
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(part, [*(4 * ends).tolist(), 4 * len(ids)], strict=True):
+                    words.table[w] = raw[at:end]
+                    at = end + 4
+            other = [w for w in new if w not in words.table]
+            for w, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                words.table[w] = np.array(e.ids, "<u4").tobytes()
 
         _encoders[path] = lambda texts: words.encode_texts(texts, learn)
     return _encoders[path]

@@ -12,7 +12,6 @@ the input don't matter.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Words of a generation of a worker's table; the one before stays, and its words move up when met.
 TABLE_WORDS = 700_000
 #: White space of Unicode; the libraries' own classes differ in control characters.
@@ -133,8 +134,10 @@ class Vocabulary:
                 self.table[w] = raw[at:e]
                 at = e
 
-    def pieces(self, text: str) -> list[str]:
-        return split_words(text)
+    def forget(self) -> None:
+        """Empties the word table."""
+        self.table, self.older = {}, {}
+        release()
 
     def encode_texts(self, texts: list[str], learn=None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -195,6 +198,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for first, texts in text_runs(b, 1):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(v.encode_texts(texts), pa.binary())], names=["_id", "ids"])
+        v.forget()  # a worker may go on to other stages
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return src.mapInArrow(step, f"_id {src.schema['_id'].dataType.simpleString()}, ids binary").withColumnRenamed("_id", id_col)
@@ -215,6 +219,21 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
     return src.mapInArrow(step, f"_id {src.schema['_id'].dataType.simpleString()}, ids binary, text string").withColumnRenamed("_id", id_col)
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text decoded from the ids) of every row: both directions in one worker."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for b in batches:
+            for first, texts in text_runs(b, 1):
+                ids = v.encode_texts(texts)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(ids, pa.binary()), pa.array([v.decode_ids(x) for x in ids], pa.string())], names=["_id", "ids", "text"])
+        v.forget()  # a worker may go on to other stages
+
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return src.mapInArrow(step, f"_id {src.schema['_id'].dataType.simpleString()}, ids binary, text string").withColumnRenamed("_id", id_col)
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of :func:`decode`'s rows."""
     return decoded.select(
@@ -223,7 +242,3 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
-
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

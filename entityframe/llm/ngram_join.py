@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, discard, mix, shingle_sets, stored
+from .common import batch_texts, discard, mix, release, shingle_sets, stored
 
 #: Largest frequency table (2**27 cells of 2 bits: 32 MB as broadcast), and cells of one slice of it; text bytes for each cell.
 MAX_CELL_BITS, SLICE_BITS, CELL_BYTES = 27, 16, 8
@@ -73,6 +73,7 @@ def frequency_table(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarr
                 used = np.flatnonzero(np.diff(cuts))
                 parts = [gaps_of(cells[cuts[i] : cuts[i + 1]] - (i << SLICE_BITS)) for i in used.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "cells"])
+        release()
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(1 << SLICE_BITS, np.int64)
@@ -159,6 +160,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
             keys = [set_key(s) if len(s) else None for s in sets]
             first = [prefix(s, classes.value, 0, percent) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_n", "_key", "_prefix"])
+        release()
 
     rows = stored(src.mapInArrow(describe, f"_id {kind}, _n long, _key long, _prefix array<long>"), "join-sets")
     kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_prefix").alias("_prefix"))
@@ -184,6 +186,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
                 sets = [sets[i] for i in same]
                 others = [_lists([prefix(s, classes.value, o, percent) for s in sets], pa.int32()) for o in range(1, MORE_ORDERS + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), *others, _lists(sets, pa.int64())], names=names)
+        release()
 
     names = ["_key", *(f"_p{o}" for o in range(1, MORE_ORDERS + 1)), "_set"]
     table = ", ".join(["_key long", *(f"_p{o} array<int>" for o in range(1, MORE_ORDERS + 1)), "_set array<long>"])

@@ -65,8 +65,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

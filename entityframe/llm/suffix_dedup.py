@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batch_texts, slices, stored
+from .common import Rolling, batch_texts, release, slices, stored
 
 GRAM, WINDOW = 8, 128
 #: Bytes of contexts that one merge takes; shards of a merge; contexts of a group beyond which strings are counted by hash.
@@ -219,6 +219,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
                 text, left, last, key, content = contexts(run, length)
                 one, count, more = collapsed(text, left, last + length, content)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + text[one]]), pa.array(left[one].astype(np.int32)), pa.array(last[one].astype(np.int32)), _long(key[one]), _long(content[one]), pa.array(count), pa.array(more, pa.list_(pa.int32()))], names=["_text_id", "_left", "_last", "_key", "_content", "_times", "_more"])
+        release()
 
     rows = texts.mapInArrow(find, "_text_id long, _left int, _last int, _key long, _content long, _times long, _more array<int>")
     shared = rows.groupBy("_key").agg(F.sum("_times").alias("_n"), F.min("_content").alias("_lo"), F.max("_content").alias("_hi")).where("_n > 1")
@@ -260,6 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
                 size += len(row[3])
         if held:
             yield solve()
+        release()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, slices
+from .common import Rolling, release, slices
 
 BITS, SLICE = 21, 1 << 16
 MAX_ROWS, VOTERS = 40_000, 256
@@ -222,5 +222,6 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
                 part = b.slice(lo, 500)
                 s = np.round(model.scores([t or "" for t in part.column(at).to_pylist()]), 6)
                 yield part.filter(pa.array(s < threshold))
+        release()
 
     return docs.mapInArrow(step, docs.schema)

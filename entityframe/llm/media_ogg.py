@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts
+from .common import batch_texts, slices
 
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 #: Samples in an audio packet, and samples a second of the timestamps.
@@ -158,8 +158,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), batch_texts(b, "_text")
-            for lo in range(0, max(len(texts), 1), 256):
-                part = texts[lo : lo + 256]
+            for lo, part in slices(texts):
                 media = [encode(padded(t)) for t in part]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, len(part)), pa.array(map(len, part), pa.int64()), pa.array(media, pa.binary())],

@@ -29,15 +29,15 @@ _codes: list[np.ndarray] = []
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x30000)] + [False]))
-        _codes.append(mix(np.arange(0x30001, dtype=np.uint64), 3))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+        _codes.append(mix(np.arange(0x110000, dtype=np.uint64), 3))
     return _letters[0], _codes[0]
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of all n-grams, text of each, letters in each text). Runs of non-letters count as one space."""
     letters, codes = _tables()
-    points = np.minimum(np.frombuffer("\0".join(t.lower() for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32), 0x30000)
+    points = np.frombuffer("\0".join(t.lower() for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts])[: len(points)]
     is_letter = letters[points]
     n_letters = np.bincount(owner[is_letter], minlength=len(texts))

@@ -78,6 +78,16 @@ def test_toxicity_catches_held_out_rows_and_leaves_clean_ones(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.7}
 
 
+@pytest.mark.parametrize("max_rows", [3, 60, 250])
+def test_toxicity_fits_the_rows_of_smallest_hash(spark, max_rows):
+    """The cut of the hash range before the last sort changes no row of the fit."""
+    docs, labels = made_toxic()
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    smallest = lab.selectExpr("*", "xxhash64(doc_id) AS h").orderBy("h").limit(max_rows).select("doc_id", "toxic")
+    cut, plain = toxicity.fit(df, lab, max_rows=max_rows), toxicity.fit(df, smallest)
+    assert cut.buckets.tolist() == plain.buckets.tolist() and cut.weights.tolist() == pytest.approx(plain.weights.tolist()) and cut.bias == pytest.approx(plain.bias)
+
+
 def test_toxicity_hostile_rows(spark):
     docs, labels = made_toxic(60)
     docs += [(None, "idiot"), (1000, None), (1001, ""), (1002, "river " * 300_000), (0, docs[0][1])]

@@ -4,7 +4,10 @@ Vectors are cut into two-dimensional subspaces of 16 centres each. The codes min
 loss in which the residual parallel to the vector weighs more than the orthogonal one,
 since only the parallel part changes the scores of near queries. Codes are packed two to a
 byte; a query's table has 256 sums for each byte, and a block of codes is scanned by table
-look-ups. The best of each scan are reranked exactly, in double precision.
+look-ups. The best of each scan are reranked exactly, in double precision. So is every other
+row of the block whose approximate score, plus the query's norm times the norm of the row's
+residual (stored with its code), reaches the k-th best of these: no other row can be nearer,
+so the result is that of brute force, however crowded the vectors are.
 
 The centres are fitted to at most ``SAMPLE`` vectors, those of smallest id hash; every row
 is indexed. Defined results: vectors that are null, empty, zero or hold null or non-finite
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, BLOCK, QUERIES = 20_000, 8_192, 512
-#: Weight of the parallel residual against the orthogonal one; candidates that a scan of a block keeps.
+#: Weight of the parallel residual against the orthogonal one; candidates of a block whose exact scores set the bound for the others.
 ETA, SCAN_KEEP = 4.0, 150
 
 
@@ -114,12 +117,41 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pick[np.lexsort((ids[pick], -scores[pick]))]
 
 
+def reaches(v: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far the score of a query of norm 1 can be above that of its table: residual norms, and room for rounding."""
+    recon = centres[np.arange(len(centres))[None], codes].reshape(len(v), -1).astype(np.float64)
+    room = (centres.shape[0] + 8) * 2.0**-22
+    return np.linalg.norm(v - recon, axis=1) * (1 + room) + np.linalg.norm(recon, axis=1) * room + 1e-40
+
+
+def unit(queries: np.ndarray) -> np.ndarray:
+    """Queries of norm 1: of any scale in double, they fit the tables' single precision."""
+    q = queries / np.abs(queries).max(axis=1, keepdims=True)
+    return q / np.linalg.norm(q, axis=1, keepdims=True)
+
+
+def nearest(q: np.ndarray, u: np.ndarray, rough: np.ndarray, reach: np.ndarray, v: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the ``k`` best of ``others``, exactly: ``u`` is ``q`` of norm 1, ``rough`` are its table scores."""
+    pick = _top(rough, ids, SCAN_KEEP + 1)
+    pick = pick[others[pick]]
+    exact = (v[pick] * q).sum(axis=1)
+    rest = others.copy()
+    rest[pick] = False
+    if len(pick) >= k:
+        last = v[pick[_top(exact, ids[pick], k)[-1]]] * u
+        # rows that are not surely below the k-th best, those of scores out of range among them
+        rest &= ~(rough + reach < last.sum() - 1e-12 * np.abs(last).sum())
+    more = np.flatnonzero(rest)
+    pick, exact = np.concatenate([pick, more]), np.concatenate([exact, (v[more] * q).sum(axis=1)])
+    best = _top(exact, ids[pick], k)
+    return ids[pick][best], exact[best]
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): nearest ``k`` of every row whose id is divisible by ``every``, itself excluded.
 
     Queries against all rows in blocks: a task meets one block of codes with one block of
-    queries, keeps ``SCAN_KEEP`` by tables and reranks them exactly; a query's rows of all
-    blocks are then ranked.
+    queries and gives the exact ``k`` best of each; a query's rows of all blocks are then ranked.
     """
     spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
@@ -145,9 +177,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                 v = np.array(part.column(1).flatten()).reshape(-1, dim)
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], v[order]
-                codes = assign(np.pad(v, ((0, 0), (0, pad))).astype(np.float32), model.value)
+                padded = np.pad(v, ((0, 0), (0, pad)))
+                codes = assign(padded.astype(np.float32), model.value)
+                reach = reaches(padded, codes, model.value)
                 packed = np.ascontiguousarray((codes[:, 0::2] | codes[:, 1::2] << 4).T)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary())], names=["ids", "codes", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([reach.astype("<f8").tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary())], names=["ids", "codes", "reach", "vectors"])
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +194,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     for c, v in whole.items():
         spark.conf.set(c, v)
     try:
-        blocks = stored(src.mapInArrow(block, "ids binary, codes binary, vectors binary"), "ann-index")
+        blocks = stored(src.mapInArrow(block, "ids binary, codes binary, reach binary, vectors binary"), "ann-index")
         asked = src.where(F.col("_id") % every == 0)
         n_asked = asked.count()
         asked = stored(asked.repartition(max(1, -(-n_asked // QUERIES)), "_id").mapInArrow(queries, "q_ids binary, q_vectors binary"), "ann-queries")
@@ -171,21 +205,18 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                q_ids, q, ids, codes, v = (np.frombuffer(b.column(i)[row].as_py(), t) for i, t in enumerate(("<i8", "<f8", "<i8", np.uint8, "<f8")))
+                q_ids, q, ids, codes, reach, v = (np.frombuffer(b.column(i)[row].as_py(), t) for i, t in enumerate(("<i8", "<f8", "<i8", np.uint8, "<f8", "<f8")))
                 q, v, packed = q.reshape(-1, dim), v.reshape(-1, dim), codes.reshape(-1, len(ids))
                 found = []
                 for lo in range(0, len(q), 64):
-                    lut = tables(np.pad(q[lo : lo + 64], ((0, 0), (0, pad))), model.value)
+                    units = unit(q[lo : lo + 64])
+                    lut = tables(np.pad(units, ((0, 0), (0, pad))), model.value)
                     for i in range(len(lut)):
                         me = q_ids[lo + i]
-                        pick = _top(scan(lut[i], packed), ids, SCAN_KEEP + 1)
-                        pick = pick[ids[pick] != me]
-                        exact = (v[pick] * q[lo + i]).sum(axis=1)
-                        best = _top(exact, ids[pick], k)
-                        found.append((me, ids[pick][best], exact[best]))
+                        found.append((me, *nearest(q[lo + i], units[i], scan(lut[i], packed), reach, v, ids, ids != me, k)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), me) for me, a, _ in found])), pa.array(np.concatenate([a for _, a, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
 
-    met = asked.repartition(max(1, asked.count())).crossJoin(blocks).select("q_ids", "q_vectors", "ids", "codes", "vectors")
+    met = asked.repartition(max(1, asked.count())).crossJoin(blocks).select("q_ids", "q_vectors", "ids", "codes", "reach", "vectors")
     near = met.mapInArrow(meet, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

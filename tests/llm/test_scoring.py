@@ -38,6 +38,18 @@ def test_search_recall_and_scores(spark, monkeypatch):
     assert len(near(got) & near(want)) >= 0.9 * len(want)
 
 
+def test_search_finds_the_nearest_among_near_copies(spark):
+    """More near copies of one vector in a block than a scan reranks first, at scales beyond single precision too."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1800, 64))
+    v[::3] = v[0] + 0.01 * rng.normal(size=(600, 64))
+    for scale in (1.0, 1e-60, 1e60):
+        rows = [(i, x.tolist()) for i, x in enumerate(v * scale)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, every=300).collect()}
+        assert got == brute_nearest(rows, every=300)
+
+
 def test_search_hostile_rows(spark):
     """Rows that take no part, ties between copies, fewer candidates than asked for, clashing names."""
     rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (20, [1.0, None, 1.0]), (40, [float("nan"), 1.0, 1.0]), (60, [float("inf"), 1.0, 1.0]), (80, [1.0, 1.0]), (100, [0.5, 0.0, 0.0]), (7, [-1.0, 0.0, 0.0])]

@@ -15,7 +15,7 @@ folder.
 
 Defined results: texts that are null or have no word are linked with nothing; texts of fewer
 than ``k`` words have one shingle; repeated rows are linked; ties don't exist; null ids stay
-null, and are nobody's component unless all ids of it are null; an empty table gives an
+null, and are nobody's component unless all ids of it are null, but their texts link others; an empty table gives an
 empty one; other columns don't matter. Sets are compared by 64-bit hashes of shingles.
 """
 
@@ -150,6 +150,7 @@ def connected(links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id: the least id that links reach) of every row; sets link at Jaccard ``percent`` / 100."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    src = src.withColumn("_text_id", F.when(F.col("_id").isNull(), F.xxhash64("_text")))
     kind = src.schema["_id"].dataType.simpleString()
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_table(docs, k, text_col))
@@ -159,11 +160,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
             sets = shingle_sets(batch_texts(b, "_text"), k)
             keys = [set_key(s) if len(s) else None for s in sets]
             first = [prefix(s, classes.value, 0, percent) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_n", "_key", "_prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_text_id", "_n", "_key", "_prefix"])
         release()
 
-    rows = stored(src.mapInArrow(describe, f"_id {kind}, _n long, _key long, _prefix array<long>"), "join-sets")
-    kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_prefix").alias("_prefix"))
+    rows = stored(src.mapInArrow(describe, f"_id {kind}, _text_id long, _n long, _key long, _prefix array<long>"), "join-sets")
+    kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.min("_text_id").alias("_text_id"), F.count(F.lit(1)).alias("_copies"), F.first("_prefix").alias("_prefix"))
     kinds = stored(kinds, "join-classes")
     rows, with_prefix = stored(rows.select("_id", "_n", "_key"), "join-rows"), rows
     discard(with_prefix)
@@ -172,11 +173,15 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     dealt = kinds.select("_key", "_n", "_copies", F.posexplode("_prefix").alias("_at", "_t"))
     often = dealt.groupBy("_t").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     shared = stored(dealt.join(often, "_t").select("_t", "_key", "_n", (F.col("_n") - F.col("_at")).alias("_m"), "_copies", F.col("_key").alias("_comp"), "_size"), "join-shared")
-    kinds, with_prefix = stored(kinds.select("_key", "_n", "_rep"), "join-classes"), kinds
+    kinds, with_prefix = stored(kinds.select("_key", "_n", "_rep", "_text_id"), "join-classes"), kinds
     discard(with_prefix)
 
     # the other orders' prefixes (32 bits of each: more pairs may pass, none is lost) and the whole sets of classes in buckets
-    met = shared.select("_key").distinct().join(kinds.select("_key", "_rep"), "_key").select(F.col("_rep").alias("_id"), F.col("_key").alias("_wanted"))
+    met = shared.select("_key").distinct().join(kinds, "_key").select(F.col("_rep").alias("_id"), "_text_id", F.col("_key").alias("_wanted"))
+    # classes without any id are fetched by the hash of a text
+    fetched = src.select("_id", "_text").join(met.select("_id", "_wanted"), "_id").select("_text", "_wanted")
+    nameless = src.where("_id IS NULL").select("_text_id", "_text").join(met.where("_id IS NULL").select("_text_id", "_wanted"), "_text_id")
+    fetched = fetched.unionByName(nameless.groupBy("_text_id", "_wanted").agg(F.first("_text").alias("_text")).select("_text", "_wanted"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +195,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
     names = ["_key", *(f"_p{o}" for o in range(1, MORE_ORDERS + 1)), "_set"]
     table = ", ".join(["_key long", *(f"_p{o} array<int>" for o in range(1, MORE_ORDERS + 1)), "_set array<long>"])
-    sets = stored(src.join(met, "_id").select("_text", "_wanted").mapInArrow(spread, table), "join-whole-sets")
+    sets = stored(fetched.mapInArrow(spread, table), "join-whole-sets")
 
     def side(name: str, columns: list[str]) -> DataFrame:
         return sets.select(F.col("_key").alias(name), *(F.col(c).alias(name + c) for c in columns))

@@ -117,6 +117,15 @@ def test_join_of_empty_and_unlinked(spark):
     assert ngram_join.components(df.limit(0)).collect() == []
 
 
+def test_row_without_id_links_two_others(spark):
+    """The texts 1 and 2 link only by way of rows that have no id."""
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, words[0:10]), (None, words[2:12]), (None, words[2:12]), (2, words[4:14]), (None, words[20:30])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.components(df, 1, 60).collect())
+    assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (2, 1)]
+
+
 def test_gap_code_round_trip():
     for cells in (np.array([0, 0, 254, 255, 510, 65535]), np.sort(np.random.default_rng(0).integers(0, 65536, 3000))):
         assert ngram_join.cells_of(ngram_join.gaps_of(cells)).tolist() == cells.tolist()

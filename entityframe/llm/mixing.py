@@ -27,6 +27,8 @@ from .common import stored
 
 #: Tokens in a block; tokens that a shard holds about, over all sources; least number of shards.
 BLOCK, SHARD_TOKENS, SHARDS = 8, 2_000_000, 64
+#: Parts of a document in which its copies are summed.
+PARTS = 1_000_000_000
 
 
 def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict:
@@ -79,7 +81,11 @@ def words_in(text):
 
 
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, keep: bool = False) -> DataFrame:
-    """Rows with _id, _size, _source_size, _target, _taken; with ``keep`` all columns of ``docs`` as a struct ``_row`` too."""
+    """Rows with _id, _size, _source_size, _target, _taken; with ``keep`` all columns of ``docs`` as a struct ``_row`` and the copies ``_times`` too.
+
+    The copies are the steps of the rounded running sum of _taken / _size along the source's shards and their rings,
+    so that rounding doesn't add up. Sums are of billionths: the order of summing can't change them.
+    """
     size = words_in(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"), *([F.struct(*docs.columns).alias("_row")] if keep else []))
     meta = stored(sized.drop("_row"), "mix-sizes")
@@ -105,16 +111,28 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
 
     quotas = cells.groupBy("_source").applyInArrow(quota, "_source string, _shard int, _cell long, _quota long, _start long, _source_size long, _target double")
     ring = Window.partitionBy("_source", "_shard").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (sized if keep else meta).select("*", shard).withColumn("_end", F.sum("_size").over(ring))
     q = quotas.select(F.col("_source").alias("_s"), F.col("_shard").alias("_k"), "_cell", "_quota", "_start", "_source_size", "_target")
-    joined = placed.join(q, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k")))
     before = lambda x: f"(CASE WHEN _cell = 0 THEN 0 ELSE (({x}) div _cell) * _size + greatest(0, least(_size, ({x}) % _cell - (_end - _size))) END)"
     taken = F.expr(f"{before('_start + _quota')} - {before('_start')}").cast("long")
-    return joined.select("_id", "_size", "_source_size", "_target", taken.alias("_taken"), *(["_row"] if keep else []))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        ended = rows.select("*", shard).withColumn("_end", F.sum("_size").over(ring))
+        return ended.join(q, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k"))).withColumn("_taken", taken).drop("_s", "_k")
+
+    columns = ["_id", "_size", "_source_size", "_target", "_taken"]
+    if not keep:
+        return placed(meta).select(*columns)
+    part = F.expr(f"CASE WHEN _size = 0 THEN 0L ELSE _taken * {PARTS} div _size END")
+    of_cell = placed(meta).groupBy("_source", "_shard").agg(F.sum(part).alias("_parts"))
+    earlier = Window.partitionBy("_source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    begun = of_cell.select(F.col("_source").alias("_s"), F.col("_shard").alias("_k"), F.coalesce(F.sum("_parts").over(earlier), F.lit(0)).alias("_begun"))
+    summed = placed(sized).withColumn("_part", part).withColumn("_sum", F.sum("_part").over(ring))
+    summed = summed.join(begun, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k"))).withColumn("_sum", F.col("_sum") + F.col("_begun"))
+    times = F.expr(f"(_sum + {PARTS // 2}) div {PARTS} - (_sum - _part + {PARTS // 2}) div {PARTS}").cast("int")
+    return summed.select(*columns, times.alias("_times"), "_row")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row as often as the mix takes it, to the nearest whole number; columns of ``docs``."""
+    """The mixed corpus: each row as often as the mix takes it, to a whole number next to it; columns of ``docs``."""
     mixed = mix(docs, keep=True, **options)
-    times = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.round(F.col("_taken") / F.col("_size"))).cast("int")
-    return mixed.withColumn("_times", times).where("_times > 0").select(F.explode(F.array_repeat("_row", F.col("_times"))).alias("_row")).select("_row.*")
+    return mixed.where("_times > 0").select(F.explode(F.array_repeat("_row", F.col("_times"))).alias("_row")).select("_row.*")

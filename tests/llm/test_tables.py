@@ -67,6 +67,14 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.apply(df.limit(0)).collect() == []
 
 
+def test_mix_keeps_what_it_takes_of_few_documents(spark):
+    """Most cells hold one document, whose share must not be rounded the same way in all."""
+    df = spark.createDataFrame([(i, " ".join([f"w{i}"] * 96), s) for i in range(60) for s in ("a", "b", "c")], "doc_id long, text string, source string")
+    kept = {r["source"]: r["count"] for r in mixing.apply(df).groupBy("source").count().collect()}
+    for s, n in mixing.targets({s: 60 * 96 for s in "abc"}).items():
+        assert abs(kept[s] - n / 96) <= 2, s
+
+
 def slow_checksum(page):
     c = 0
     for b in page:

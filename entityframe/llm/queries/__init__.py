@@ -33,7 +33,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_ogg.read_media(media_ogg.write_media(table(spark, sf_dir, "documents")))
+    return media_ogg.read_media(common.stored(media_ogg.write_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

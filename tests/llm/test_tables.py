@@ -8,8 +8,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from entityframe.llm import media_ogg, mixing, url_rules
-from entityframe.llm.queries import URL_RULES
+from entityframe.llm import common, media_ogg, mixing, url_rules
+from entityframe.llm.queries import URL_RULES, op3_ogg_media
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +91,16 @@ def test_page_checksum_bit_by_bit():
         assert media_ogg.page_checksum(page) == slow_checksum(page)
 
 
+def test_media_column_is_written(spark, monkeypatch):
+    written = []
+    stored = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: written.append(stored(df, name)) or written[-1])
+    got = op3_ogg_media(spark, "/root/testdata/sf0.001").collect()
+    assert [t.columns for t in written] == [["doc_id", "n_bytes", "media"]]
+    kept = {r.doc_id: r.media for r in written[0].collect()}
+    assert {r.doc_id: r.media_bytes for r in got} == {i: len(m) for i, m in kept.items()}
+
+
 @pytest.mark.parametrize("n", [64, 4096, 4160, 255 * 64, 8192, 300_032])
 def test_ogg_round_trip_and_timestamps(n):
     payload = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()

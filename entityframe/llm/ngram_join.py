@@ -10,6 +10,8 @@ document: it sets the order only, so its errors cost time and not links.
 Documents of equal sets are one class with one representative. Links are found without all
 pairs of a bucket: in a few rounds each bucket's members meet one member, linked classes
 become one component, and what is left, pairs of different components, is verified whole.
+The result is components and not links: pairs within a component are left out, so most links
+of a group of near copies are never found.
 Components grow by label spreading with pointer jumping, each round written to the shared
 folder.
 

@@ -7,18 +7,19 @@ shingle under each of the other orders (other hashes within frequency classes, a
 alone). Frequencies come from a table of fixed size that counts every shingle of every
 document: it sets the order only, so its errors cost time and not links.
 
-Documents of equal sets are one class with one representative. Links are found without all
-pairs of a bucket: in a few rounds each bucket's members meet one member, linked classes
-become one component, and what is left, pairs of different components, is verified whole.
-The result is components and not links: pairs within a component are left out, so most links
-of a group of near copies are never found.
+Documents of equal sets are one class, known by a hash of its set, with one whole set.
+Links are found without all pairs of a bucket: in a few rounds each bucket's members meet
+one member, linked classes become one component, and what is left, pairs of different
+components, is verified whole. The result is components and not links: pairs within a
+component are left out, so most links of a group of near copies are never found.
 Components grow by label spreading with pointer jumping, each round written to the shared
 folder.
 
 Defined results: texts that are null or have no word are linked with nothing; texts of fewer
-than ``k`` words have one shingle; repeated rows are linked; ties don't exist; null ids stay
-null, and are nobody's component unless all ids of it are null, but their texts link others; an empty table gives an
-empty one; other columns don't matter. Sets are compared by 64-bit hashes of shingles.
+than ``k`` words have one shingle; repeated rows are linked, one id may have several texts;
+ties don't exist; null ids stay null, and are nobody's component unless all ids of it are
+null, but their texts link others; an empty table gives an empty one; other columns don't
+matter. Sets are compared by 64-bit hashes of shingles, rows known by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,16 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, discard, mix, release, shingle_sets, stored
+from .common import discard, mix, release, shingle_sets, stored, text_batches
 
 #: Largest frequency table (2**27 cells of 2 bits: 32 MB as broadcast), and cells of one slice of it; text bytes for each cell.
 MAX_CELL_BITS, SLICE_BITS, CELL_BYTES = 27, 16, 8
-#: Orders beside the first; rounds of one-member meetings; members of a bucket that meet at once; rows worked on at once.
-MORE_ORDERS, ROUNDS, SMALL, ROWS = 2, 3, 8, 500
-
-
-def in_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(lo, ROWS) for lo in range(0, batch.num_rows, ROWS))
+#: Orders beside the first; rounds of one-member meetings; members of a bucket that meet at once; shingles counted at once.
+MORE_ORDERS, ROUNDS, SMALL, COUNTED = 2, 3, 8, 700_000
+#: A word of the contract's alphabet.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def gaps_of(cells: np.ndarray) -> bytes:
@@ -66,15 +65,23 @@ def frequency_table(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarr
     mean = total_bytes / 7 / (1 << bits)
     limits = np.array([max(1, mean), max(2, 1.5 * mean), max(24, 4 * mean)])
 
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << SLICE_BITS))
+        used = np.flatnonzero(np.diff(cuts))
+        parts = [gaps_of(cells[cuts[i] : cuts[i + 1]] - (i << SLICE_BITS)) for i in used.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "cells"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 4 * ROWS):
-                found = [np.concatenate(shingle_sets(batch_texts(part, "_text"), k)) for part in in_rows(b.slice(lo, 4 * ROWS))]
-                cells = np.sort(np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << SLICE_BITS))
-                used = np.flatnonzero(np.diff(cuts))
-                parts = [gaps_of(cells[cuts[i] : cuts[i + 1]] - (i << SLICE_BITS)) for i in used.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "cells"])
+        found, n = [], 0
+        for _, texts in text_batches(batches, "_text"):
+            found += shingle_sets(texts, k)
+            n += sum(map(len, found[-len(texts) :]))
+            if n >= COUNTED:
+                yield packed(found)
+                found, n = [], 0
+        if n:
+            yield packed(found)
         release()
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,58 +153,64 @@ def connected(links: DataFrame) -> DataFrame:
         label = nxt
         if nxt.where("_label < _old").isEmpty():
             discard(both)
-            return nxt.select("_node", "_label")
+            return nxt
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id: the least id that links reach) of every row; sets link at Jaccard ``percent`` / 100."""
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    src = src.withColumn("_text_id", F.when(F.col("_id").isNull(), F.xxhash64("_text")))
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with _ra and _rb, two hashes of id and text: rows equal in both are one."""
+    return docs.withColumns({"_ra": F.xxhash64(F.lit(1), id_col, text_col), "_rb": F.xxhash64(F.lit(2), text_col, id_col)})
+
+
+def classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((_id, _n, _key) of every row, (_key, _first, _comp) of every class): the least row of the class, the component as one of its keys.
+
+    ``_first`` is (no id, id, row key): rows without an id come last.
+    """
+    src = with_row_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")), "_id", "_text")
     kind = src.schema["_id"].dataType.simpleString()
     spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(frequency_table(docs, k, text_col))
+    broadcast = spark.sparkContext.broadcast(frequency_table(docs, k, text_col))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in in_rows(whole)):
-            sets = shingle_sets(batch_texts(b, "_text"), k)
+        for b, texts in text_batches(batches, "_text"):
+            sets = shingle_sets(texts, k)
             keys = [set_key(s) if len(s) else None for s in sets]
-            first = [prefix(s, classes.value, 0, percent) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_text_id", "_n", "_key", "_prefix"])
+            first = [prefix(s, broadcast.value, 0, percent) if len(s) else s for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(first, pa.int64())], names=["_id", "_ra", "_rb", "_n", "_key", "_prefix"])
         release()
 
-    rows = stored(src.mapInArrow(describe, f"_id {kind}, _text_id long, _n long, _key long, _prefix array<long>"), "join-sets")
-    kinds = rows.where("_key IS NOT NULL").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.min("_text_id").alias("_text_id"), F.count(F.lit(1)).alias("_copies"), F.first("_prefix").alias("_prefix"))
-    kinds = stored(kinds, "join-classes")
-    rows, with_prefix = stored(rows.select("_id", "_n", "_key"), "join-rows"), rows
-    discard(with_prefix)
+    described = stored(src.mapInArrow(describe, f"_id {kind}, _ra long, _rb long, _n long, _key long, _prefix array<long>"), "join-sets")
+    first = F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("i"), F.col("_ra").alias("a"), F.col("_rb").alias("b"))).alias("_first")
+    with_prefix = stored(described.where("_key IS NOT NULL").groupBy("_key", "_n").agg(first, F.count(F.lit(1)).alias("_copies"), F.first("_prefix").alias("_prefix")), "join-classes")
+    rows = stored(described.select("_id", "_n", "_key"), "join-rows")
+    discard(described)
+    kinds = with_prefix
 
     # buckets of the first order that hold two classes at least
     dealt = kinds.select("_key", "_n", "_copies", F.posexplode("_prefix").alias("_at", "_t"))
     often = dealt.groupBy("_t").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     shared = stored(dealt.join(often, "_t").select("_t", "_key", "_n", (F.col("_n") - F.col("_at")).alias("_m"), "_copies", F.col("_key").alias("_comp"), "_size"), "join-shared")
-    kinds, with_prefix = stored(kinds.select("_key", "_n", "_rep", "_text_id"), "join-classes"), kinds
+    kinds = stored(kinds.select("_key", "_first"), "join-classes")
     discard(with_prefix)
+    used = [shared, kinds]
 
-    # the other orders' prefixes (32 bits of each: more pairs may pass, none is lost) and the whole sets of classes in buckets
-    met = shared.select("_key").distinct().join(kinds, "_key").select(F.col("_rep").alias("_id"), "_text_id", F.col("_key").alias("_wanted"))
-    # classes without any id are fetched by the hash of a text
-    fetched = src.select("_id", "_text").join(met.select("_id", "_wanted"), "_id").select("_text", "_wanted")
-    nameless = src.where("_id IS NULL").select("_text_id", "_text").join(met.where("_id IS NULL").select("_text_id", "_wanted"), "_text_id")
-    fetched = fetched.unionByName(nameless.groupBy("_text_id", "_wanted").agg(F.first("_text").alias("_text")).select("_text", "_wanted"))
+    # the other orders' prefixes (32 bits of each: more pairs may pass, none is lost) and the whole set of each class in buckets, once
+    met = shared.select("_key").distinct().join(kinds, "_key").select(F.col("_first.a").alias("_ra"), F.col("_first.b").alias("_rb"), F.col("_key").alias("_wanted"))
+    fetched = src.select("_ra", "_rb", "_text").join(met, ["_ra", "_rb"]).groupBy("_ra", "_rb").agg(F.first("_wanted").alias("_wanted"), F.first("_text").alias("_text"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in in_rows(b):
-                sets = shingle_sets(batch_texts(part, "_text"), k)
-                same = [i for i, (s, w) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if len(s) and set_key(s) == w]
-                sets = [sets[i] for i in same]
-                others = [_lists([prefix(s, classes.value, o, percent) for s in sets], pa.int32()) for o in range(1, MORE_ORDERS + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), *others, _lists(sets, pa.int64())], names=names)
+        for b, texts in text_batches(batches, "_text"):
+            sets = shingle_sets(texts, k)
+            same = [i for i, (s, w) in enumerate(zip(sets, b.column(0).to_pylist(), strict=True)) if len(s) and set_key(s) == w]
+            sets = [sets[i] for i in same]
+            others = [_lists([prefix(s, broadcast.value, o, percent) for s in sets], pa.int32()) for o in range(1, MORE_ORDERS + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), *others, _lists(sets, pa.int64())], names=names)
         release()
 
     names = ["_key", *(f"_p{o}" for o in range(1, MORE_ORDERS + 1)), "_set"]
     table = ", ".join(["_key long", *(f"_p{o} array<int>" for o in range(1, MORE_ORDERS + 1)), "_set array<long>"])
-    sets = stored(fetched.mapInArrow(spread, table), "join-whole-sets")
+    sets = stored(fetched.select("_wanted", "_text").mapInArrow(spread, table), "join-whole-sets")
+    used.append(sets)
 
     def side(name: str, columns: list[str]) -> DataFrame:
         return sets.select(F.col("_key").alias(name), *(F.col(c).alias(name + c) for c in columns))
@@ -209,10 +222,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         likely = pairs.join(side("_a", orders), "_a").join(side("_b", orders), "_b")
         for o in orders:
             likely = likely.where(F.arrays_overlap("_a" + o, "_b" + o))
-        likely = stored(likely.select("_a", "_b"), "join-candidates")
+        likely = stored(likely.select("_a", "_b").distinct(), "join-candidates")
+        used.append(likely)
         whole = likely.join(side("_a", ["_set"]), "_a").join(side("_b", ["_set"]), "_b")
         common = F.size(F.array_intersect("_a_set", "_b_set"))
-        return whole.where(common * 100 >= (F.size("_a_set") + F.size("_b_set") - common) * percent).select("_a", "_b").distinct()
+        return whole.where(common * 100 >= (F.size("_a_set") + F.size("_b_set") - common) * percent).select("_a", "_b")
 
     all_links: list[DataFrame] = []
 
@@ -220,9 +234,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         """The buckets after the components that the links (of classes) join have become one; whether any were joined."""
         all_links.append(stored(links, "join-links"))
         between = stored(component_links(all_links[-1], buckets), "join-components")
+        used.append(between)
         if between.isEmpty():
             return buckets, False
-        new = connected(between).select(F.col("_node").alias("_comp"), F.col("_label"))
+        labels = connected(between)
+        used.append(labels)
+        new = labels.select(F.col("_node").alias("_comp"), F.col("_label"))
         moved = buckets.join(new, "_comp", "left").select("_t", "_key", "_n", "_m", "_copies", F.coalesce("_label", "_comp").alias("_comp"))
         after = stored(moved, "join-buckets")
         discard(buckets)
@@ -244,7 +261,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     small = shared.where(F.col("_size") <= SMALL)
     all_links.append(stored(verified(pairs_of(small, small)), "join-links"))
     large = shared.where(F.col("_size") > SMALL)
-    known = connected(all_links[0]).select(F.col("_node").alias("_key"), F.col("_label"))
+    labels = connected(all_links[0])
+    used.append(labels)
+    known = labels.select(F.col("_node").alias("_key"), F.col("_label"))
     buckets = stored(large.join(known, "_key", "left").select("_t", "_key", "_n", "_m", "_copies", F.coalesce("_label", "_comp").alias("_comp")), "join-buckets")
     for r in range(ROUNDS):
         open_ones = buckets.groupBy("_t").agg(F.max_by(F.struct("_key", "_n", "_m", "_comp"), F.struct(F.col("_copies") if r == 0 else F.lit(0), F.xxhash64(F.lit(r), "_key"))).alias("_one"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi")
@@ -260,17 +279,31 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     every = all_links[0]
     for links in all_links[1:]:
         every = every.unionByName(links)
-    of_class = connected(every).select(F.col("_node").alias("_key"), F.col("_label").alias("_comp")).join(kinds.select("_key", "_rep"), "_key")
-    least = of_class.groupBy("_comp").agg(F.min("_rep").alias("_least"))
-    found = of_class.join(least, "_comp").select("_key", "_least")
-    final = kinds.select("_key", "_rep").join(found, "_key", "left").select("_key", F.coalesce("_least", "_rep").alias("_component"))
-    out = rows.select("_id", "_n", "_key").join(final, "_key", "left")
+    labels = connected(every)
+    comp = labels.select(F.col("_node").alias("_key"), F.col("_label").alias("_comp"))
+    found = stored(kinds.join(comp, "_key", "left").select("_key", "_first", F.coalesce("_comp", "_key").alias("_comp")), "join-found")
+    discard(*used, *all_links, buckets, labels)
+    return rows, found
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id: the least id that links reach) of every row; sets link at Jaccard ``percent`` / 100."""
+    rows, found = classes(docs, k, percent, id_col, text_col)
+    least = found.groupBy("_comp").agg(F.min("_first").alias("_least"))
+    of_class = found.select("_key", "_comp").join(least, "_comp").select("_key", F.col("_least.i").alias("_component"))
+    out = rows.join(of_class, "_key", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their component, once each; rows without an id stay."""
-    found = components(docs, k, percent, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component: that of least id (rows without an id last), then of least row hash. Texts without a word stay.
+
+    Rows equal in id and text are one, whatever their other columns hold.
+    """
+    _, found = classes(docs, k, percent, id_col, text_col)
+    least = found.groupBy("_comp").agg(F.min("_first").alias("_least")).select(F.col("_least.a").alias("_ra"), F.col("_least.b").alias("_rb"))
+    has_word = F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+    # the key is taken of the same columns as in classes()
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), has_word.alias("_has_word"))
+    one = with_row_key(keyed.where("_has_word"), "_id", "_text").select("_row", "_ra", "_rb").join(least, ["_ra", "_rb"]).groupBy("_ra", "_rb").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*").unionByName(keyed.where("NOT _has_word").select("_row.*"))

@@ -160,7 +160,7 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 #: The odd base of the rolling sums; bytes of a gram; masks of a gram's first bytes.
 _BASE, GRAM = 0xD6E8FEB86659FD93, 8
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_MASKS = np.array([(1 << 8 * i) - 1 for i in range(GRAM + 1)], np.uint64)
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(GRAM + 1)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -201,7 +201,7 @@ class Rolling:
         value = (self.sums[np.maximum(end - (GRAM - 1), start)] - self.sums[start]) * self.back[start]
         short = np.flatnonzero(n < GRAM)
         if len(short):
-            value[short] = self.bytes8[start[short]] & _MASKS[n[short]]
+            value[short] = self.bytes8[start[short]] & MASKS[n[short]]
         value += n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         return mix(value)
 

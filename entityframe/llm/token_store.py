@@ -3,12 +3,13 @@
 Ids are cut into 8-bit chunks. Level 0 holds the lowest chunk of every id, level k the
 next chunk of those that have one; a continuation bitmap of each level tells which, and a
 rank directory (ones before every 512th bit) finds the place in the next level, so any id
-is read without decoding others. Blocks lie in ascending document order in a table of the
+is read without decoding others, and the ids of a document are a run of each level. Blocks lie in ascending document order in a table of the
 shared folder: Spark's committer makes rewritten tasks safe.
 
 Defined results: null texts are empty (one end id); null document ids sort first; repeated
 rows are written again; ties in the id keep one order, by the text's hash; an empty table
-gives an empty one; other columns don't matter. One document is never split between blocks.
+gives an empty one; other columns don't matter. One document is never split between blocks,
+however long its text is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, text_runs
-from .common import stored
+from .common import release, stored
 
 #: Ids in a block, beyond which it is closed; bits between entries of the rank directory.
 BLOCK_IDS, STRIDE = 500_000, 512
@@ -84,21 +85,31 @@ class Block:
             i = int(rank[i // STRIDE]) + int(between.sum())
         raise ValueError("a continuation leads past the last level")
 
-    def all(self) -> np.ndarray:
-        out = self.levels[0][1].astype(np.uint32)
-        where = None
-        for k, (n, _, bits, _) in enumerate(self.levels[:-1]):
-            on = np.flatnonzero(np.unpackbits(bits, count=n, bitorder="little"))
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """The ids lo .. hi - 1. Those that go on are a run of the next level, found by rank."""
+        out = where = None
+        for k, (_, chunk, bits, rank) in enumerate(self.levels):
+            part = chunk[lo:hi].astype(np.uint32) << np.uint32(8 * k)
+            if out is None:
+                out = part
+            else:
+                out[where] |= part
+            base = lo // STRIDE * STRIDE
+            flags = np.unpackbits(bits[base // 8 : -(-hi // 8)], bitorder="little")[: hi - base]
+            on = np.flatnonzero(flags[lo - base :])
+            if not len(on):
+                return out
             where = on if where is None else where[on]
-            out[where] |= self.levels[k + 1][1].astype(np.uint32) << np.uint32(8 * (k + 1))
-        return out
+            lo = int(rank[base // STRIDE]) + int(np.count_nonzero(flags[: lo - base]))
+            hi = lo + len(on)
+        raise ValueError("a continuation leads past the last level")
 
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, Vocabulary] = {}
 
 
-def library_encoder(path: str):
-    """Texts to ids by the tokenizers library, words met before from a bounded table.
+def library_encoder(path: str) -> Vocabulary:
+    """The word table of :class:`Vocabulary`, with the tokenizers library as the encoder of words.
 
     The byte-level pre-tokenizer makes a word's ids independent of its neighbours, so the
     library is asked once for each word.
@@ -110,28 +121,26 @@ def library_encoder(path: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        words = Vocabulary(path)
-
         (line,) = tok.encode("\n", add_special_tokens=False).ids
 
-        def learn(new: list[str]) -> None:
+        def learn(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            words = [w.decode() for w in new]
             # a line break parts words as the pre-tokenizer does, so that one call encodes many; white space goes alone
-            solid = [w for w in new if w.strip() and "\n" not in w]
-            for lo in range(0, len(solid), 50_000):
-                part = solid[lo : lo + 50_000]
-                ids = np.array(tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(ids == line)
-                if len(ends) != len(part) - 1:
+            solid = [i for i, w in enumerate(words) if "\n" not in w and w.strip()]
+            alone = sorted(set(range(len(words))) - set(solid))
+            ids: list = [None] * len(words)
+            if solid:
+                joined = np.array(tok.encode_batch_fast(["\n".join(words[i] for i in solid)], add_special_tokens=False)[0].ids, np.uint32)
+                parts = np.split(joined, np.flatnonzero(joined == line))
+                if len(parts) != len(solid):
                     raise ValueError("the tokenizer doesn't part words at line breaks")
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(part, [*(4 * ends).tolist(), 4 * len(ids)], strict=True):
-                    words.table[w] = raw[at:end]
-                    at = end + 4
-            other = [w for w in new if w not in words.table]
-            for w, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
-                words.table[w] = np.array(e.ids, "<u4").tobytes()
-
-        _encoders[path] = lambda texts: words.encode_texts(texts, learn)
+                for k, (i, p) in enumerate(zip(solid, parts, strict=True)):
+                    ids[i] = p[1:] if k else p
+            for i, e in zip(alone, tok.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+                ids[i] = np.array(e.ids, np.uint32)
+            return np.concatenate(ids), np.array(list(map(len, ids)), np.int64)
+
+        _encoders[path] = Vocabulary(path, learn)
     return _encoders[path]
 
 
@@ -139,41 +148,41 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Writes the blocks table and returns it: part, offset (ids before it in its part), ids of documents, their counts, the packed block."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    tail = np.array([end_id], "<u4").tobytes()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(path)
+        words = library_encoder(path)
         part, offset = TaskContext.get().partitionId(), 0
-        ids_of: list = []
-        counts: list[int] = []
-        buffers: list[bytes] = []
+        docs_of: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
             nonlocal offset
-            total = sum(counts)
-            blob = pack(np.frombuffer(b"".join(buffers), "<u4"))
+            n = np.concatenate(counts)
+            total = int(n.sum())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), values) for values in (pa.concat_arrays(docs_of), pa.array(n, pa.int64()))]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([offset], pa.int64()), pa.array([total], pa.int64()), pa.array([ids_of], pa.list_(id_type)), pa.array([counts], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([offset], pa.int64()), pa.array([total], pa.int64()), *lists, pa.array([pack(np.concatenate(ids))], pa.binary())],
                 names=["part", "offset", "n_ids", "docs", "counts", "block"],
             )
             offset += total
-            ids_of.clear(), counts.clear(), buffers.clear()
+            docs_of.clear(), counts.clear(), ids.clear()
             return out
 
         for b in batches:
-            id_type = b.column(0).type
-            ids = b.column(0).to_pylist()
             for first, texts in text_runs(b, 1):
-                for i, raw in enumerate(encode(texts)):
-                    ids_of.append(ids[first + i])
-                    buffers.append(raw + tail)
-                    counts.append(len(raw) // 4 + 1)
-                if sum(counts) >= BLOCK_IDS:
+                of_run, n = words.encode_run(texts)
+                ended = np.insert(of_run, np.cumsum(n), np.uint32(end_id))
+                docs_of.append(b.column(0).slice(first, len(texts)))
+                counts.append(n + 1)
+                ids.append(ended)
+                if sum(map(len, ids)) >= BLOCK_IDS:
                     yield close()
         if counts:
             yield close()
+        release()
 
     ordered = src.repartitionByRange(n, F.col("_id").asc_nulls_first(), F.xxhash64("_text")).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
     return stored(ordered.mapInArrow(step, f"part int, offset long, n_ids long, docs array<{kind}>, counts array<long>, block binary"), "token-blocks")
@@ -195,10 +204,10 @@ def read(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 part, offset, docs, counts, blob = (b.column(k)[row] for k in range(5))
-                ids = Block(blob.as_py()).all().astype("<u4").tobytes()
-                n = np.array(counts.as_py(), np.int64)
+                block = Block(blob.as_py())
+                n = counts.values.to_numpy()
                 ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[4 * lo : 4 * hi]) for lo, hi in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(block.span(lo, hi).astype("<u4").tobytes()) for lo, hi in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 first = base[part.as_py()] + offset.as_py()
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["_id", "start", "n_tokens", "ids_crc32"])
 

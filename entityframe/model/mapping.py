@@ -11,6 +11,10 @@ from .milestoning import NONE, Milestoning
 PRIMITIVES = {"String": "string", "Integer": "long", "Double": "double", "Float": "double", "Decimal": "decimal(38,10)", "Boolean": "boolean", "Date": "date", "DateTime": "timestamp_ntz"}
 
 
+#: Methods of finders, which no property or association may be called after.
+RESERVED = frozenset({"count", "exists", "exists_semi", "not_exists", "attributes", "find_all"})
+
+
 def method_name(display: str) -> str:
     """``Valid From`` -> ``valid_from``."""
     return re.sub(r"\W+", "_", display.strip()).lower()
@@ -99,6 +103,11 @@ class Model:
                 raise ValueError(f"{j.target}.{a.reverse} is defined twice")
             self.links[j.target][a.reverse] = Join(a.reverse, a.source, j.right, j.left)
 
+        for e, d in self.entities.items():
+            for n in (*(p.name for p in d.properties), *self.links[e]):
+                if method_name(n) in RESERVED:
+                    raise ValueError(f"{e}.{n} is called like a method of finders")
+
     def entity(self, name: str) -> EntityDef:
         if name not in self.entities:
             raise KeyError(f"no entity {name} in model {self.name}")

@@ -7,6 +7,7 @@ the infinite end doesn't matter.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from dataclasses import dataclass
 
@@ -46,6 +47,10 @@ def _within(table: str, start: str, end: str, at: Column, infinite_end: bool) ->
 class Milestoning:
     uses_business = uses_processing = False
 
+    def columns(self) -> list[str]:
+        """The table's columns that hold the dates."""
+        return [v for f in (dataclasses.fields(self) if dataclasses.is_dataclass(self) else ()) if isinstance(v := getattr(self, f.name), str)]
+
     def predicates(self, table: str, business: Instant, processing: Instant) -> list[Column]:
         return []
 

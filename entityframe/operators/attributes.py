@@ -91,7 +91,7 @@ class StringAttribute(Attribute):
     def upper(self):
         return self._function("Upper", F.upper)
 
-    def lower_case(self):
+    def lower(self):
         return self._function("Lower", F.lower)
 
     def strip(self):
@@ -153,7 +153,7 @@ class NumericAttribute(Attribute):
         return self._function("Sqrt", F.sqrt)
 
     def mod(self, n):
-        return self._function("Mod", lambda c: numbers.mod(c, n))
+        return self._function("Mod", lambda c: numbers.mod(c, n, isinstance(n, float) or isinstance(self, DoubleAttribute)))
 
     def power(self, n):
         return self._function("Power", lambda c: F.pow(c, F.lit(n)))
@@ -176,6 +176,12 @@ class FloatAttribute(DoubleAttribute):
 
 
 class DecimalAttribute(NumericAttribute):
+    def ceil(self):
+        return self._function("Ceil", F.ceil)
+
+    def floor(self):
+        return self._function("Floor", F.floor)
+
     def literal(self, value):
         return F.lit(Decimal(str(value)))
 

@@ -6,13 +6,16 @@ column is resolved, and lowers itself to a Spark column once paths have aliases.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 Path = tuple[str, ...]
+#: Columns that stand for aggregates which the planner has computed already, by the aggregate's identity.
+computed: ContextVar[dict[int, Column]] = ContextVar("computed", default={})
 
 
 def alias_of(root: str, path: Path) -> str:
@@ -29,7 +32,16 @@ class Expr:
         """(root entity, path) of all columns, in order of use."""
         return [p for c in self.children() for p in c.paths()]
 
-    def lower(self) -> Column:
+    def refs(self) -> list[tuple[str, Path, str]]:
+        """(root entity, path, column) of all columns."""
+        return [r for c in self.children() for r in c.refs()]
+
+    def walk(self) -> Iterator[Expr]:
+        yield self
+        for c in self.children():
+            yield from c.walk()
+
+    def to_column(self) -> Column:
         raise NotImplementedError
 
     @property
@@ -49,8 +61,8 @@ class Named(Expr):
     def children(self):
         return (self.of,)
 
-    def lower(self):
-        return self.of.lower()
+    def to_column(self):
+        return self.of.to_column()
 
 
 @dataclass(frozen=True)
@@ -63,7 +75,10 @@ class ColumnRef(Expr):
     def paths(self):
         return [(self.root, self.path)]
 
-    def lower(self):
+    def refs(self):
+        return [(self.root, self.path, self.column)]
+
+    def to_column(self):
         return F.col(f"`{alias_of(self.root, self.path)}`.`{self.column}`")
 
 
@@ -72,7 +87,7 @@ class Literal(Expr):
     value: Callable[[], Column]
     label: str = "literal"
 
-    def lower(self):
+    def to_column(self):
         return self.value()
 
 
@@ -87,8 +102,8 @@ class Function(Expr):
     def children(self):
         return (self.of,)
 
-    def lower(self):
-        return self.make(self.of.lower())
+    def to_column(self):
+        return self.make(self.of.to_column())
 
 
 @dataclass(frozen=True)
@@ -101,10 +116,10 @@ class Spec:
     def children(self) -> tuple[Expr, ...]:
         return (*self.partition, *(s.of for s in self.order))
 
-    def lower(self, needs_order: bool):
-        w = Window.partitionBy(*(p.lower() for p in self.partition))
+    def to_column(self, needs_order: bool):
+        w = Window.partitionBy(*(p.to_column() for p in self.partition))
         if self.order:
-            return w.orderBy(*(s.lower() for s in self.order))
+            return w.orderBy(*(s.to_column() for s in self.order))
         return w.orderBy(F.lit(1)) if needs_order else w
 
 
@@ -130,10 +145,16 @@ class Aggregate(Expr):
     def over(self, partition_by=None, order_by=None) -> Aggregate:
         return replace(self, window=spec(partition_by, order_by))
 
-    def lower(self):
+    def summary(self) -> Column:
+        """The aggregate without its window."""
         make = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "average": F.avg}[self.op]
-        c = make(self.of.lower() if self.of else F.lit(1))
-        return c if self.window is None else c.over(self.window.lower(False))
+        return make(self.of.to_column() if self.of else F.lit(1))
+
+    def to_column(self):
+        known = computed.get().get(id(self))
+        if known is not None:
+            return known
+        return self.summary() if self.window is None else self.summary().over(self.window.to_column(False))
 
 
 @dataclass(frozen=True)
@@ -151,8 +172,8 @@ class WindowFunction(Expr):
     def over(self, partition_by=None, order_by=None) -> WindowFunction:
         return replace(self, window=spec(partition_by, order_by))
 
-    def lower(self):
-        c = self.of.lower() if self.of else None
+    def to_column(self):
+        c = self.of.to_column() if self.of else None
         made = {
             "row_number": lambda: F.row_number(),
             "rank": lambda: F.rank(),
@@ -165,21 +186,21 @@ class WindowFunction(Expr):
             "first": lambda: F.first(c),
             "last": lambda: F.last(c),
         }[self.op]()
-        return made.over(self.window.lower(self.op not in ("first", "last")))
+        return made.over(self.window.to_column(self.op not in ("first", "last")))
 
 
 class Predicate(Expr):
     def and_op(self, other: Predicate) -> Predicate:
-        return Logical(self, "and", other)
+        return self if isinstance(other, NoOperation) else Logical(self, "and", other)
 
     def or_op(self, other: Predicate) -> Predicate:
-        return Logical(self, "or", other)
+        return other if isinstance(other, NoOperation) else Logical(self, "or", other)
 
     __and__, __or__ = and_op, or_op
 
 
 class NoOperation(Predicate):
-    """No filter."""
+    """No filter: all rows. With and, the other term is left; with or, none."""
 
     def and_op(self, other):
         return other
@@ -204,8 +225,8 @@ class Logical(Predicate):
     def children(self):
         return (self.left, self.right)
 
-    def lower(self):
-        a, b = self.left.lower(), self.right.lower()
+    def to_column(self):
+        a, b = self.left.to_column(), self.right.to_column()
         return a & b if self.op == "and" else a | b
 
 
@@ -220,8 +241,8 @@ class Test(Predicate):
     def children(self):
         return self.parts
 
-    def lower(self):
-        return self.make(*(p.lower() for p in self.parts))
+    def to_column(self):
+        return self.make(*(p.to_column() for p in self.parts))
 
 
 @dataclass(frozen=True)
@@ -237,7 +258,10 @@ class Exists(Predicate):
     def paths(self):
         return [] if self.semi else [(self.root, self.path)]
 
-    def lower(self):
+    def refs(self):
+        return [] if self.semi else [(self.root, self.path, self.key)]
+
+    def to_column(self):
         c = F.col(f"`{alias_of(self.root, self.path)}`.`{self.key}`")
         return c.isNull() if self.negated else c.isNotNull()
 
@@ -247,8 +271,8 @@ class Sort:
     of: Expr
     descending: bool = False
 
-    def lower(self) -> Column:
-        c = self.of.lower()
+    def to_column(self) -> Column:
+        c = self.of.to_column()
         return c.desc_nulls_last() if self.descending else c.asc_nulls_last()
 
 

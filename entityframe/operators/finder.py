@@ -66,8 +66,9 @@ class Finder(Related):
 
     def find_all(self, business_date: Instant, processing_valid_at: Instant, columns: list[Expr], filter: Predicate | None = None) -> Query:
         """A lazy query. Dates that the root's temporal kind doesn't use are not passed on, to joins neither."""
-        business, processing = self._entity.milestoning.gate(as_datetime(business_date), as_datetime(processing_valid_at))
-        return Query(self._engine, self._entity.name, business, processing, tuple(columns), filter or NoOperation())
+        asked = as_datetime(business_date), as_datetime(processing_valid_at)
+        business, processing = self._entity.milestoning.gate(*asked)
+        return Query(self._engine, self._entity.name, business, processing, tuple(columns), filter or NoOperation(), asked=asked)
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,7 @@ class Query:
     order: tuple[Sort, ...] = ()
     groups: tuple[Expr, ...] = ()
     size: int | None = None
+    asked: tuple[Instant, Instant] = (None, None)  # the dates as given, for sources that filter by dates themselves
 
     def order_by(self, *sorts: Sort) -> Query:
         return replace(self, order=sorts)
@@ -97,6 +99,12 @@ class Query:
     def to_rows(self) -> list[Row]:
         return self.to_df().collect()
 
+    def to_sql(self, unique_names: bool = False) -> str:
+        """The query as Spark SQL over the tables' qualified names."""
+        from ..plans.planner import prepare, sql_text
+
+        return sql_text(self.engine, prepare(self.engine, self, unique_names))
+
     def to_plan(self) -> str:
         """The optimised logical plan's text, for reading."""
         return self.to_df()._jdf.queryExecution().optimizedPlan().toString()
@@ -117,6 +125,6 @@ class Engine:
         raise AttributeError(name)
 
     def plan(self, query: Query, unique_names: bool = False) -> DataFrame:
-        from ..plans.planner import plan
+        from ..plans.planner import frame, prepare
 
-        return plan(self, query, unique_names)
+        return frame(self, prepare(self, query, unique_names))

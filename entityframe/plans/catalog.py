@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.expr import Expr
+from ..functions import numbers
+from ..operators.expr import Expr, NoOperation
 from .tables import engine
 
 #: Derived tables of the SQL side.
@@ -21,6 +22,7 @@ AT = "1998-06-01 00:00:00"
 _VALID = f"(in_z <= TIMESTAMP '{AT}' AND (out_z > TIMESTAMP '{AT}' OR out_z IS NULL))"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
+_builders: dict[str, Callable] = {}
 
 
 def _add(name: str, build: Callable, sql: str, after: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -30,7 +32,7 @@ def _add(name: str, build: Callable, sql: str, after: Callable[[DataFrame], Data
         df = build(engine(spark, sf_dir)).to_df()
         return after(df) if after else df
 
-    _queries[name], _sql[name] = run, WITH + sql
+    _queries[name], _sql[name], _builders[name] = run, WITH + sql, build
 
 
 def _all(root, columns: dict[str, Expr], where=None, business=None, processing=None):
@@ -72,6 +74,7 @@ def _filters() -> None:
     on("not_contains", lambda o: o.priority().not_contains("E"), "o_orderpriority NOT LIKE '%E%'")
     on("and", lambda o: o.status().eq("O").and_op(o.total().gt(50000)), "o_orderstatus = 'O' AND o_totalprice > 50000")
     on("or", lambda o: o.status().eq("O").or_op(o.status().eq("P")).and_op(o.total().lt(50000)), "(o_orderstatus = 'O' OR o_orderstatus = 'P') AND o_totalprice < 50000")
+    on("no_operation", lambda o: o.status().eq("F").and_op(NoOperation()).and_op(NoOperation().or_op(o.key().gt(3))), "o_orderstatus = 'F'")
     _add("q_filter_null", lambda e: _all(e.Version, {"key": e.Version.key()}, e.Version.valid_to().is_null()), "SELECT o_orderkey AS key FROM orders_hist WHERE out_z IS NULL")
     _add("q_filter_not_null", lambda e: _all(e.Version, {"key": e.Version.key()}, e.Version.valid_to().is_not_null()), "SELECT o_orderkey AS key FROM orders_hist WHERE out_z IS NOT NULL")
     _add("q_filter_related", lambda e: _all(e.Order, {"key": e.Order.key()}, e.Order.customer().segment().eq("BUILDING")), "SELECT o_orderkey AS key FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -106,12 +109,18 @@ def _milestones() -> None:
     _add("q_mile_join_on", lambda e: _all(e.Version, {"key": e.Version.key(), "sibling": e.Version.customer().versions().key()}, processing=AT), f"SELECT a.o_orderkey AS key, b.o_orderkey AS sibling FROM (SELECT * FROM orders_hist WHERE {_VALID}) a LEFT JOIN customer ON a.o_custkey = c_custkey LEFT JOIN (SELECT * FROM orders_hist WHERE {_VALID}) b ON c_custkey = b.o_custkey")
 
 
+def numbers_of(a, make):
+    from ..operators.expr import Function
+
+    return Function(a, make, "V")
+
+
 def _functions() -> None:
     def text(name, make, sql):
         _add(f"q_str_{name}", lambda e: _all(e.Part, {"key": e.Part.key(), "v": make(e.Part.name())}), f"SELECT p_partkey AS key, {sql} AS v FROM part")
 
     for name, make, sql in (
-        ("upper", lambda a: a.upper(), "upper(p_name)"), ("lower", lambda a: a.lower_case(), "lower(p_name)"), ("strip", lambda a: a.strip(), "trim(p_name)"), ("lstrip", lambda a: a.lstrip(), "ltrim(p_name)"), ("rstrip", lambda a: a.rstrip(), "rtrim(p_name)"),
+        ("upper", lambda a: a.upper(), "upper(p_name)"), ("lower", lambda a: a.lower(), "lower(p_name)"), ("strip", lambda a: a.strip(), "trim(p_name)"), ("lstrip", lambda a: a.lstrip(), "ltrim(p_name)"), ("rstrip", lambda a: a.rstrip(), "rtrim(p_name)"),
         ("length", lambda a: a.length(), "length(p_name)"), ("reverse", lambda a: a.reverse(), "reverse(p_name)"), ("left", lambda a: a.left(4), "left(p_name, 4)"), ("left_negative", lambda a: a.left(-3), "left(p_name, -3)"), ("right", lambda a: a.right(4), "right(p_name, 4)"), ("right_negative", lambda a: a.right(-3), "right(p_name, -3)"),
         ("repeat", lambda a: a.repeat(3), "repeat(p_name, 3)"), ("replace", lambda a: a.replace("e", "EE"), "replace(p_name, 'e', 'EE')"), ("substring", lambda a: a.substring(2, 3), "substring(p_name, 3, 3)"), ("substring_open", lambda a: a.substring(2), "substring(p_name, 3)"), ("substring_before", lambda a: a.substring(-1, 3), "substring(p_name, 0, 3)"),
     ):
@@ -125,6 +134,12 @@ def _functions() -> None:
         ("round", lambda a: a.round(), "round(c_acctbal)"), ("round_d", lambda a: a.round(1), "round(c_acctbal, 1)"),
     ):
         number(name, make, sql)
+    # doubles that no whole-number type holds, remainders by zero, decimals
+    number("ceil_large", lambda a: numbers_of(a, lambda c: numbers.ceil(c * 1e300)), "ceiling(c_acctbal * 1e300)")
+    number("floor_large", lambda a: numbers_of(a, lambda c: numbers.floor(c * 1e300)), "floor(c_acctbal * 1e300)")
+    number("mod_zero", lambda a: a.mod(0.0), "c_acctbal % 0.0")
+    for name in ("ceil", "floor"):
+        _add(f"q_num_{name}_decimal", lambda e, name=name: _all(e.Order, {"key": e.Order.key(), "v": getattr(e.Order.price(), name)()}), f"SELECT o_orderkey AS key, {name}(price_dec) AS v FROM orders_x")
     _add("q_num_sqrt", lambda e: _all(e.Part, {"key": e.Part.key(), "v": e.Part.price().sqrt()}), "SELECT p_partkey AS key, sqrt(p_retailprice) AS v FROM part")
 
     def date(name, make, sql):
@@ -149,7 +164,7 @@ def _groups() -> None:
     _add("q_agg_group_by", lambda e: _all(e.Order, {"status": e.Order.status(), "n": e.Order.count(), "total": e.Order.total().sum()}).group_by(e.Order.status()), "SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1", _round("total"))
     _add("q_agg_nested", lambda e: _all(e.Customer, {"v": _sum_of_abs(e.Customer.balance())}), "SELECT round(sum(abs(c_acctbal)), 2) AS v FROM customer", _round("v"))
     _add("q_group_related", lambda e: _all(e.Order, {"segment": e.Order.customer().segment(), "n": e.Order.count()}).group_by(e.Order.customer().segment()), "SELECT c_mktsegment AS segment, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-    _add("q_group_scalar", lambda e: _all(e.Order, {"status": e.Order.status().lower_case(), "n": e.Order.count()}).group_by(e.Order.status()), "SELECT lower(o_orderstatus) AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+    _add("q_group_scalar", lambda e: _all(e.Order, {"status": e.Order.status().lower(), "n": e.Order.count()}).group_by(e.Order.status()), "SELECT lower(o_orderstatus) AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
 
 
 def _sum_of_abs(a):
@@ -194,6 +209,8 @@ def _sorts() -> None:
     top("q_sort_desc", lambda o: (o.total().descending(), o.key().ascending()), "o_totalprice DESC NULLS LAST, o_orderkey")
     top("q_topk", lambda o: (o.status().ascending(), o.total().descending(), o.key().ascending()), "o_orderstatus NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey")
     top("q_order_related", lambda o: (o.customer().name().descending(), o.key().ascending()), "c_name DESC NULLS LAST, o_orderkey")
+    _add("q_sort_all", lambda e: _all(e.Customer, {"key": e.Customer.key(), "balance": e.Customer.balance()}).order_by(e.Customer.balance().descending(), e.Customer.key().ascending()), "SELECT c_custkey AS key, c_acctbal AS balance FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey")
+    _add("q_limit_sorted", lambda e: _all(e.Part, {"key": e.Part.key()}).order_by(e.Part.price().ascending(), e.Part.key().ascending()).limit(100), "SELECT p_partkey AS key FROM part ORDER BY p_retailprice NULLS LAST, p_partkey LIMIT 100")
     _add("q_limit", lambda e: _all(e.Order, {"n": e.Order.count()}).limit(1), "SELECT count(*) AS n FROM orders LIMIT 1")
     _add("q_limit_zero", lambda e: _all(e.Order, {"key": e.Order.key()}).limit(0), "SELECT o_orderkey AS key FROM orders LIMIT 0")
     _add("q_sort_nulls", lambda e: _all(e.Version, {"key": e.Version.key()}).order_by(e.Version.valid_to().descending(), e.Version.key().ascending()).limit(25), "SELECT o_orderkey AS key FROM orders_hist ORDER BY out_z DESC NULLS LAST, o_orderkey LIMIT 25")
@@ -214,5 +231,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
 
+def builders() -> dict[str, Callable]:
+    """What makes each query from an engine."""
+    return dict(_builders)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Association, BiTemporal, BusinessDate, BusinessDateAndProcessing, EntityDef, Join, Model, Processing, PropertyDef, Source
 from ..operators.finder import Engine
-from ..sources.tables import Frames
+from ..sources.tables import Frames, parquet
 
 
 def _entity(name: str, table: str, properties: str, joins: str = "", milestoning=None) -> EntityDef:
@@ -42,7 +42,7 @@ MODEL = Model(
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name: parquet(spark, f"{sf_dir}/{name}.parquet")
 
     def hist() -> DataFrame:
         w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import urllib.request
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..model.mapping import EntityDef
 from ..model.milestoning import Instant, as_datetime
-from .tables import Provider
+from .tables import Provider, check
 
 
 @dataclass(frozen=True)
@@ -74,17 +75,16 @@ class _Reader(DataSourceReader):
 
 
 class GraphQL(Provider):
-    """Entities by qualified name; dates are those of the query that the provider is made for (:meth:`at`)."""
+    """Entities by qualified name. A request has the dates given to ``find_all`` and the fields that the query uses."""
 
-    def __init__(self, spark: SparkSession, endpoints: dict[str, Endpoint], business: Instant = None, processing: Instant = None):
-        self.spark, self.endpoints, self.business, self.processing = spark, endpoints, business, processing
+    def __init__(self, spark: SparkSession, endpoints: dict[str, Endpoint]):
+        self.spark, self.endpoints = spark, endpoints
         spark.dataSource.register(GraphQLSource)
 
-    def at(self, business: Instant, processing: Instant) -> GraphQL:
-        return GraphQL(self.spark, self.endpoints, business, processing)
-
-    def read(self, entity: EntityDef) -> DataFrame:
+    def table(self, entity: EntityDef, business: Instant = None, processing: Instant = None, columns: Sequence[str] = ()) -> DataFrame:
         e = self.endpoints[entity.source.qualified]
-        fields = [f.strip().split()[0] for f in e.schema.split(",")]
-        query = e.text(fields, self.business, self.processing)
-        return self.spark.read.format("entityframe_graphql").schema(e.schema).options(url=e.url, query=query, field=e.field).load()
+        schema = StructType.fromDDL(e.schema)
+        check(entity, schema.names)
+        used = [f for f in schema.fields if f.name in columns] or schema.fields[:1]  # a count needs rows only
+        query = e.text([f.name for f in used], business, processing)
+        return self.spark.read.format(GraphQLSource.name()).schema(StructType(used)).options(url=e.url, query=query, field=e.field).load()

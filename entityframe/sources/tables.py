@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..model.mapping import EntityDef
+from ..model.milestoning import Instant
 
 
 class Provider:
     def read(self, entity: EntityDef) -> DataFrame:
         raise NotImplementedError
 
-    def table(self, entity: EntityDef) -> DataFrame:
+    def table(self, entity: EntityDef, business: Instant = None, processing: Instant = None, columns: Sequence[str] = ()) -> DataFrame:
+        """The entity's table. The query's dates and the columns that it uses are for sources that must be asked for them."""
         df = self.read(entity)
-        missing = {p.column for p in entity.properties} | {j.left for j in entity.joins}
-        missing -= set(df.columns)
-        if missing:
-            raise ValueError(f"table {entity.source.qualified} lacks columns {sorted(missing)}")
+        check(entity, df.columns)
         return df
 
 
+def check(entity: EntityDef, columns: Sequence[str]) -> None:
+    missing = {p.column for p in entity.properties} | {j.left for j in entity.joins} | set(entity.milestoning.columns())
+    missing -= set(columns)
+    if missing:
+        raise ValueError(f"table {entity.source.qualified} lacks columns {sorted(missing)}")
+
+
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
+def parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read once in an application, not for each query."""
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
+
+
 class Frames(Provider):
     """DataFrames, or functions that make them, by qualified name."""
 
@@ -40,7 +58,7 @@ class ParquetFolder(Provider):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def read(self, entity):
-        return self.spark.read.parquet(f"{self.folder}/{entity.source.table}.parquet")
+        return parquet(self.spark, f"{self.folder}/{entity.source.table}.parquet")
 
 
 class CsvFolder(Provider):

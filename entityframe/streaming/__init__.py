@@ -1,6 +1 @@
-"""Streaming.
-
-The queries that can be asked have no streaming operators of their own (no watermarks,
-no event-time windows, no state). Plans without sorts, limits and window functions hold no
-batch-only step, so a provider of streaming DataFrames makes them streaming queries.
-"""
+"""Entities over streams."""

@@ -8,47 +8,52 @@ import pytest
 
 from entityframe.model import Association, BiTemporal, EntityDef, Join, Model, Processing, PropertyDef, Source
 from entityframe.model.markdown import loads
+from entityframe.operators.expr import NoOperation
 from entityframe.operators.finder import Engine
+from entityframe.plans import catalog
+from entityframe.plans.tables import engine
 from entityframe.sources.graphql import Endpoint, GraphQL
-from entityframe.sources.tables import CsvFolder, Frames
+from entityframe.sources.tables import Catalog, Chain, CsvFolder, Frames, ParquetFolder
+from entityframe.streaming.folder import StreamFolder
 from entityframe.stubs import stub
 
+SF = "/root/testdata/sf0.001"
 MARKDOWN = """
-## Model: finance.md
+## Model: harbour.md
 
-## DataStore: db (Database)
+## DataStore: port (Database)
 
-| Scheme          | processing_start | processing_end |
-|-----------------|------------------|----------------|
-| processing_only | in_z             | out_z          |
+| Scheme   | processing_start | processing_end |
+|----------|------------------|----------------|
+| observed | seen_from        | seen_to        |
 
-### Schema: ref_data
+### Schema: quays
 
-#### Table: account_master → Account
+#### Table: berth_list → Berth
 
-| Column    | Type    | Key | Property |
-|-----------|---------|-----|----------|
-| ID        | INT     | PK  | id       |
-| ACCT_NAME | VARCHAR |     | name     |
+| Column   | Type    | Key | Property |
+|----------|---------|-----|----------|
+| BERTH_NO | INT     | PK  | number   |
+| LABEL    | VARCHAR |     | label    |
 
-### Schema: trading
+### Schema: traffic
 
-#### Table: trades → Trade (milestoning: processing_only)
+#### Table: port_calls → Call (milestoning: observed)
 
-| Column     | Type      | Key | Property   |
-|------------|-----------|-----|------------|
-| sym        | VARCHAR   |     | symbol     |
-| price      | DOUBLE    |     | price      |
-| is_settled | BOOLEAN   |     | settled    |
-| account_id | INT       | FK  | account    |
-| in_z       | TIMESTAMP |     | valid_from |
-| out_z      | TIMESTAMP |     | valid_to   |
+| Column    | Type      | Key | Property   |
+|-----------|-----------|-----|------------|
+| vessel    | VARCHAR   |     | vessel     |
+| dues      | DOUBLE    |     | dues       |
+| cleared   | BOOLEAN   |     | cleared    |
+| berth_no  | INT       | FK  | berth      |
+| seen_from | TIMESTAMP |     | seen_from  |
+| seen_to   | TIMESTAMP |     | seen_to    |
 
-#### Association: TradeAccount
+#### Association: CallBerth
 
-| Source Column | Target Table   | Target Column |
-|---------------|----------------|---------------|
-| account_id    | account_master | ID            |
+| Source Column | Target Table | Target Column |
+|---------------|--------------|---------------|
+| berth_no      | berth_list   | BERTH_NO      |
 """
 
 
@@ -60,52 +65,75 @@ def zoned(spark, request):
 
 
 @pytest.fixture
-def finance(zoned):
-    accounts = zoned.sql("SELECT 1 AS ID, 'Acme Corp' AS ACCT_NAME")
-    trades = zoned.sql("""SELECT sym, price, is_settled, account_id, CAST(a AS timestamp_ntz) AS in_z, CAST(b AS timestamp_ntz) AS out_z FROM VALUES
-        ('AAPL', 84.11D, true, 1, '2020-01-01', '9999-12-31'), ('GOOG', 200D, false, 1, '2020-01-01', '2022-01-01') AS t(sym, price, is_settled, account_id, a, b)""")
-    return Engine(loads(MARKDOWN), Frames({"ref_data.account_master": accounts, "trading.trades": trades}))
+def harbour(zoned):
+    berths = zoned.sql("SELECT 12 AS BERTH_NO, 'North Quay' AS LABEL")
+    calls = zoned.sql("""SELECT vessel, dues, cleared, berth_no, CAST(a AS timestamp_ntz) AS seen_from, CAST(b AS timestamp_ntz) AS seen_to FROM VALUES
+        ('Petrel', 310.5D, true, 12, '2017-03-01', '9999-12-31'), ('Tern', 75D, false, 12, '2017-03-01', '2018-09-15') AS t(vessel, dues, cleared, berth_no, a, b)""")
+    return Engine(loads(MARKDOWN), Frames({"quays.berth_list": berths, "traffic.port_calls": calls}))
 
 
 def rows(query):
     return sorted(tuple(r) for r in query.to_rows())
 
 
-def test_snapshots_and_joins(finance):
-    t, a = finance.Trade, finance.Account
-    assert rows(t.find_all(None, "2021-06-01 12:00:00", [t.symbol()])) == [("AAPL",), ("GOOG",)]
-    assert rows(t.find_all(None, "2023-01-01 12:00:00", [t.symbol(), t.price()])) == [("AAPL", 84.11)]
-    assert rows(t.find_all(None, "2022-01-01 00:00:00", [t.symbol()])) == [("AAPL",)]  # the end is excluded
-    assert rows(t.find_all(None, "2020-01-01 00:00:00", [t.symbol()])) == [("AAPL",), ("GOOG",)]  # the start is included
-    assert rows(t.find_all(None, None, [t.symbol()], t.settled().is_true())) == [("AAPL",)]
-    q = t.find_all(None, None, [t.symbol(), t.account().name()], t.symbol().eq("AAPL"))
-    assert rows(q) == [("AAPL", "Acme Corp")] and q.to_df().columns == ["Symbol", "Account Name"]
+def test_snapshots_and_joins(harbour):
+    c, b = harbour.Call, harbour.Berth
+    assert rows(c.find_all(None, "2018-01-20 12:00:00", [c.vessel()])) == [("Petrel",), ("Tern",)]
+    assert rows(c.find_all(None, "2019-01-20 12:00:00", [c.vessel(), c.dues()])) == [("Petrel", 310.5)]
+    assert rows(c.find_all(None, "2018-09-15 00:00:00", [c.vessel()])) == [("Petrel",)]  # the end is excluded
+    assert rows(c.find_all(None, "2017-03-01 00:00:00", [c.vessel()])) == [("Petrel",), ("Tern",)]  # the start is included
+    assert rows(c.find_all(None, None, [c.vessel()], c.cleared().is_true())) == [("Petrel",)]
+    q = c.find_all(None, None, [c.vessel(), c.berth().label()], c.vessel().eq("Petrel"))
+    assert rows(q) == [("Petrel", "North Quay")] and q.to_df().columns == ["Vessel", "Berth Label"]
     # a root without dates passes none on
-    assert rows(a.find_all("2023-01-01", "2023-01-01", [a.name(), a.trades().symbol()])) == [("Acme Corp", "AAPL"), ("Acme Corp", "GOOG")]
-    assert rows(a.find_all(None, None, [a.name()], a.trades().symbol().eq("AAPL"))) == [("Acme Corp",)]
+    assert rows(b.find_all("2019-01-20", "2019-01-20", [b.label(), b.calls().vessel()])) == [("North Quay", "Petrel"), ("North Quay", "Tern")]
+    assert rows(b.find_all(None, None, [b.label()], b.calls().vessel().eq("Petrel"))) == [("North Quay",)]
 
 
-def test_labels_and_windows(finance):
-    t = finance.Trade
-    df = t.find_all(None, None, [t.symbol().upper(), t.price().sum().over(), t.price().rank("first", order_by=t.price().ascending()), t.price().shift(1, order_by=t.price().ascending())]).order_by(t.price().descending()).limit(1).to_df()
-    assert df.columns == ["Upper Symbol", "Price Sum", "Row Number", "Lag Price"]
-    assert [tuple(r) for r in df.collect()] == [("GOOG", 284.11, 2, 84.11)]
+def test_labels_and_windows(harbour):
+    c = harbour.Call
+    df = c.find_all(None, None, [c.vessel().lower(), c.dues().sum().over(), c.dues().rank("first", order_by=c.dues().ascending()), c.dues().shift(1, order_by=c.dues().ascending())]).order_by(c.dues().descending()).limit(1).to_df()
+    assert df.columns == ["Lower Vessel", "Dues Sum", "Row Number", "Lag Dues"]
+    assert [tuple(r) for r in df.collect()] == [("petrel", 385.5, 2, 75.0)]
 
 
-def test_queries_are_immutable_and_errors_tell(finance):
-    t, a = finance.Trade, finance.Account
-    q = t.find_all(None, None, [t.symbol()])
+def test_queries_are_immutable_and_errors_tell(harbour):
+    c, b = harbour.Call, harbour.Berth
+    q = c.find_all(None, None, [c.vessel()])
     assert q.limit(1) is not q and q.size is None and len(q.limit(0).to_rows()) == 0
     with pytest.raises(ValueError, match="neither displayed"):
-        t.find_all(None, None, [t.symbol()], a.name().eq("x")).to_df()
+        c.find_all(None, None, [c.vessel()], b.label().eq("x")).to_df()
     with pytest.raises(AttributeError):
-        t.nothing()
+        c.nothing()
     with pytest.raises(TypeError):
-        t.symbol().eq("x").and_op("y")
+        c.vessel().eq("x").and_op("y")
     with pytest.raises(ValueError, match="line 3"):
         loads("## Model: m\n\nnonsense")
+    frames = harbour.provider.frames
     with pytest.raises(ValueError, match="lacks columns"):
-        Engine(finance.model, Frames({"trading.trades": finance.provider.frames["ref_data.account_master"]})).Trade.find_all(None, None, [t.symbol()]).to_df()
+        Engine(harbour.model, Frames({"traffic.port_calls": frames["quays.berth_list"]})).Call.find_all(None, None, [c.vessel()]).to_df()
+    with pytest.raises(ValueError, match="lacks columns .'seen_to'"):
+        Engine(harbour.model, Frames({"traffic.port_calls": frames["traffic.port_calls"].drop("seen_to")})).Call.find_all(None, None, [c.vessel()]).to_df()
+
+
+@pytest.mark.parametrize("name", ["Count", "Exists", "Attributes", "Find All"])
+def test_names_of_finder_methods_are_refused(name):
+    with pytest.raises(ValueError, match="method of finders"):
+        Model("m", [EntityDef("T", Source("t"), (PropertyDef(name, "c", "String"),))])
+
+
+def test_right_keys_are_checked(spark):
+    m = Model("m", [EntityDef("A", Source("a"), (PropertyDef("X", "x", "Integer"),), (Join("other", "B", "x", "lost"),)), EntityDef("B", Source("b"), (PropertyDef("Y", "y", "Integer"),))])
+    a = Engine(m, Frames({"a": spark.createDataFrame([(1,)], "x long"), "b": spark.createDataFrame([(1,)], "y long")})).A
+    with pytest.raises(ValueError, match="b lacks columns .'lost'"):
+        a.find_all(None, None, [a.other().y()]).to_df()
+
+
+def test_no_operation_nested(harbour):
+    c = harbour.Call
+    petrel, none = c.vessel().eq("Petrel"), NoOperation()
+    n = lambda w: len(c.find_all(None, None, [c.vessel()], w).to_rows())
+    assert [n(petrel.and_op(none)), n(none.and_op(petrel)), n(petrel.or_op(none)), n(none.or_op(petrel)), n(none.and_op(none)), n(petrel & none & c.dues().gt(1) & none)] == [1, 1, 2, 2, 2, 1]
 
 
 def test_tricky_text(spark):
@@ -118,30 +146,82 @@ def test_tricky_text(spark):
     assert find(t.s().is_null()) == {None} and None not in find(t.s().not_contains("z"))
 
 
-def test_org_chart_and_plans(spark):
-    people = spark.createDataFrame([(1, "Alice", None), (2, "Bob", 1), (3, "Carol", 1), (4, "Dave", 2)], "id long, name string, manager_id long")
-    d = EntityDef("Employee", Source("employees", "hr"), (PropertyDef("Id", "id", "Integer"), PropertyDef("Name", "name", "String")), (Join("manager", "Employee", "manager_id", "id"),))
-    e = Engine(Model("org", [d], [Association("Employee", "manager", "employees")]), Frames({"hr.employees": people}))
-    p = e.Employee
-    assert rows(p.find_all(None, None, [p.name(), p.manager().name(), p.manager().manager().name()], p.id().eq(4))) == [("Dave", "Bob", "Alice")]
-    assert rows(p.find_all(None, None, [p.employees().name()], p.id().eq(1))) == [("Bob",), ("Carol",)]
-    assert rows(p.find_all(None, None, [p.name()], p.employees().not_exists())) == [("Carol",), ("Dave",)]
-    assert "LeftAnti" in p.find_all(None, None, [p.name()], p.employees().not_exists()).to_plan()
-    assert p.find_all(None, None, [p.manager().name(), p.manager().id()]).to_plan().count("Join") == 1  # one join for a path
-    assert p.find_all(None, None, [p.manager().name(), p.manager().manager().name()]).to_df(unique_names=True).columns == ["Manager Name", "Manager Manager Name"]
-    assert "class EmployeeFinder" in stub(e.model)
-    top = p.find_all(None, None, [p.name()]).order_by(p.id().descending()).limit(2).to_df()
-    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString() and [r[0] for r in top.collect()] == ["Dave", "Carol"]
+def test_numbers_at_the_edges(spark):
+    m = Model("m", [EntityDef("T", Source("t"), (PropertyDef("D", "d", "Double"), PropertyDef("I", "i", "Integer")))])
+    values = [1e300, -1e300, 2.0**53 + 2, -0.5, 1.5, float("inf"), float("nan"), None]
+    t = Engine(m, Frames({"t": spark.createDataFrame([(v, 7) for v in values], "d double, i long")})).T
+    got = [tuple(r) for r in t.find_all(None, None, [t.d().ceil(), t.d().floor(), t.d().mod(0), t.i().mod(0.0)]).to_rows()]
+    assert [r[0] for r in got[:6]] == [1e300, -1e300, 2.0**53 + 2, 0.0, 2.0, float("inf")] and got[6][0] != got[6][0] and got[7][0] is None
+    assert [r[1] for r in got[:6]] == [1e300, -1e300, 2.0**53 + 2, -1.0, 1.0, float("inf")]
+    assert all(r[2] != r[2] for r in got[:7]) and got[7][2] is None and all(r[3] != r[3] for r in got)
+
+
+def test_tree_and_plans(spark):
+    taxa = spark.createDataFrame([(10, "Canids", None), (20, "Foxes", 10), (30, "Wolves", 10), (40, "Fennec", 20)], "nr long, title string, parent_nr long")
+    d = EntityDef("Taxon", Source("taxa", "zoo"), (PropertyDef("Nr", "nr", "Integer"), PropertyDef("Title", "title", "String")), (Join("parent", "Taxon", "parent_nr", "nr"),))
+    e = Engine(Model("zoo", [d], [Association("Taxon", "parent", "children")]), Frames({"zoo.taxa": taxa}))
+    t = e.Taxon
+    assert rows(t.find_all(None, None, [t.title(), t.parent().title(), t.parent().parent().title()], t.nr().eq(40))) == [("Fennec", "Foxes", "Canids")]
+    assert rows(t.find_all(None, None, [t.children().title()], t.nr().eq(10))) == [("Foxes",), ("Wolves",)]
+    assert rows(t.find_all(None, None, [t.title()], t.children().not_exists())) == [("Fennec",), ("Wolves",)]
+    assert "LeftAnti" in t.find_all(None, None, [t.title()], t.children().not_exists()).to_plan()
+    assert t.find_all(None, None, [t.parent().title(), t.parent().nr()]).to_plan().count("Join") == 1  # one join for a path
+    assert t.find_all(None, None, [t.parent().title(), t.parent().parent().title()]).to_df(unique_names=True).columns == ["Parent Title", "Parent Parent Title"]
+    assert "class TaxonFinder" in stub(e.model)
+    top = t.find_all(None, None, [t.title()]).order_by(t.nr().descending()).limit(2).to_df()
+    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString() and [r[0] for r in top.collect()] == ["Fennec", "Wolves"]
 
 
 @pytest.mark.parametrize("infinite", [False, True])
 def test_bitemporal_boundaries(zoned, infinite):
     end = "'9999-12-31'" if infinite else "NULL"
-    rates = zoned.sql(f"SELECT 'k' AS k, 1 AS v, DATE'2023-01-10' AS bf, DATE'2023-01-15' AS bt, CAST('2023-02-01' AS timestamp_ntz) AS a, CAST({end} AS timestamp_ntz) AS z")
+    rates = zoned.sql(f"SELECT 'k' AS k, 1 AS v, DATE'2011-04-10' AS bf, DATE'2011-04-15' AS bt, CAST('2011-05-01' AS timestamp_ntz) AS a, CAST({end} AS timestamp_ntz) AS z")
     kind = BiTemporal("bf", "bt", "a", "z", infinite)
     r = Engine(Model("m", [EntityDef("R", Source("r"), (PropertyDef("V", "v", "Integer"),), milestoning=kind)]), Frames({"r": rates})).R
     n = lambda b, p: len(r.find_all(b, p, [r.v()]).to_rows())
-    assert [n("2023-01-10", "2023-02-01"), n("2023-01-14", "2030-01-01"), n("2023-01-15", "2023-02-01"), n("2023-01-09", "2023-02-01"), n("2023-01-10", "2023-01-31 23:59:59"), n(None, None)] == [1, 1, 0, 0, 0, 1]
+    assert [n("2011-04-10", "2011-05-01"), n("2011-04-14", "2030-01-01"), n("2011-04-15", "2011-05-01"), n("2011-04-09", "2011-05-01"), n("2011-04-10", "2011-04-30 23:59:59"), n(None, None)] == [1, 1, 0, 0, 0, 1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unordered_windows_gather_nothing_in_one_task(spark):
+    """Sums over all rows or over few keys are grouped and joined back; ordered windows stay windows."""
+    o = engine(spark, SF).Order
+    for w in (o.total().sum().over(), o.total().max().over([o.status()]), o.total().count().over([o.status(), o.customer().segment()])):
+        text = plan_of(o.find_all(None, None, [o.key(), w]).to_df())
+        assert "Window" not in text and "partial_" in text
+    assert "Window" in plan_of(o.find_all(None, None, [o.total().sum().over([o.status()], [o.key().ascending()])]).to_df())
+    both = o.find_all(None, None, [o.key(), o.total().sum().over([o.status()]), o.total().min().over([o.status()]), o.key().count().over()]).order_by(o.key().ascending()).limit(3)
+    got = both.to_rows()
+    want = spark.sql(f"SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderstatus), min(o_totalprice) OVER (PARTITION BY o_orderstatus), count(*) OVER () FROM parquet.`{SF}/orders.parquet` ORDER BY 1 LIMIT 3").collect()
+    assert [tuple(r) for r in got] == [(a, pytest.approx(b), c, d) for a, b, c, d in want]
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    o = engine(spark, SF).Order
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan_of(o.find_all(None, None, [o.key()], o.total().gt(1000).and_op(o.status().eq("F"))).to_df())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(o_totalprice,1000.0)" in text and "EqualTo(o_orderstatus,F)" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in text
+
+
+SQL_QUERIES = sorted(n for n in catalog.queries() if n.startswith(("q_filter_eq", "q_filter_or", "q_join", "q_exists", "q_not_exists", "q_group", "q_agg", "q_topk", "q_win_lag", "q_str_left", "q_date_add_d", "q_num_ceil", "q_cross")))
+
+
+@pytest.mark.parametrize("name", SQL_QUERIES)
+def test_sql_text_gives_the_same_rows(spark, name):
+    """The SQL of a query, run over views of its tables."""
+    e = engine(spark, SF)
+    query = catalog.builders()[name](e)
+    for entity in e.model.entities.values():
+        e.provider.table(entity).createOrReplaceTempView(entity.source.qualified)
+    text = query.to_sql()
+    got = spark.sql(text)
+    assert text.startswith("SELECT") and got.columns == query.to_df().columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, query.to_rows()))
 
 
 def test_csv(spark, tmp_path):
@@ -151,36 +231,81 @@ def test_csv(spark, tmp_path):
     assert rows(t.find_all(None, None, [t.name()], t.id().gt(1))) == [("b",)]
 
 
-def test_graphql(spark):
+def test_catalog_and_chain(spark):
+    model = Model("m", [EntityDef(n, Source(t), (PropertyDef("Id", "id", "Integer"),)) for n, t in (("First", "chain_first"), ("Second", "chain_second"))])
+    spark.createDataFrame([(5,)], "id long").createOrReplaceTempView("chain_second")
+    e = Engine(model, Chain(Frames({"chain_first": spark.createDataFrame([(4,)], "id long")}), Catalog(spark)))
+    for finder, want in ((e.First, 4), (e.Second, 5)):
+        assert rows(finder.find_all(None, None, [finder.id()])) == [(want,)]
+    model = Model("m", [EntityDef("T", Source("no_such_table"), (PropertyDef("Id", "id", "Integer"),))])
+    t = Engine(model, Chain(Frames({}), Catalog(spark))).T
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        t.find_all(None, None, [t.id()]).to_df()
+
+
+def test_parquet_folder_and_stream(spark, tmp_path):
+    d = EntityDef("Reading", Source("readings"), (PropertyDef("Id", "id", "Integer"), PropertyDef("Level", "level", "Double")))
+    spark.createDataFrame([(1, 0.5), (2, 1.5)], "id long, level double").write.parquet(f"{tmp_path}/readings.parquet")
+    batch = Engine(Model("m", [d]), ParquetFolder(spark, str(tmp_path))).Reading
+    assert rows(batch.find_all(None, None, [batch.id()], batch.level().gt(1))) == [(2,)]
+    live = Engine(Model("m", [d]), StreamFolder(spark, str(tmp_path), {"readings": "id long, level double"})).Reading
+    df = live.find_all(None, None, [live.id().alias("id")], live.level().gt(1)).to_df()
+    assert df.isStreaming
+
+    def run():
+        df.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination(60)
+        return sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == [2]
+    spark.createDataFrame([(3, 2.5), (4, 0.1)], "id long, level double").write.mode("append").parquet(f"{tmp_path}/readings.parquet")
+    assert run() == [2, 3]
+
+
+@pytest.fixture
+def server():
     asked = []
 
-    class Server(BaseHTTPRequestHandler):
+    class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
-            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["query"])
-            body = json.dumps({"errors": ["no"]} if "broken" in asked[-1] else {"data": {"instruments": [{"symbol": "IBM", "price": 1203.5}, {"symbol": "GS", "price": 45}]}}).encode()
-            self.send_response(200)
+            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["query"]
+            asked.append(text)
+            body = {"errors": ["no"]} if "broken" in text else {"data": {}} if "absent" in text else {"data": {"gauges": [{"place": "Weir", "flow": 18.25, "day": 3}, {"place": "Lock", "flow": 2, "day": None}]}}
+            self.send_response(503 if "down" in text else 200)
             self.end_headers()
-            self.wfile.write(body)
+            self.wfile.write(json.dumps(body).encode())
 
         def log_message(self, *a):
             pass
 
-    server = HTTPServer(("127.0.0.1", 0), Server)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    try:
-        url = f"http://127.0.0.1:{server.server_port}/"
-        props = (PropertyDef("Symbol", "symbol", "String"), PropertyDef("Price", "price", "Double"))
-        m = Model("g", [EntityDef("Instrument", Source("instruments"), props), EntityDef("Broken", Source("broken"), props)])
-        source = GraphQL(spark, {"instruments": Endpoint(url, "instruments", "symbol string, price double", processing_argument="asOf"), "broken": Endpoint(url, "broken", "symbol string, price double")})
-        i = Engine(m, source.at(None, "2020-01-01 08:30:00")).Instrument
-        assert rows(i.find_all(None, None, [i.symbol(), i.price()], i.price().gt(100))) == [("IBM", 1203.5)]
-        assert asked[-1] == '{ instruments(asOf: "2020-01-01T08:30:00.000Z") { symbol price } }'
-        assert Endpoint(url, "p", "a int", business_argument="businessDate").text(["a"], "2024-01-10", None) == '{ p(businessDate: "2024-01-10") { a } }'
-        b = Engine(m, source).Broken
-        with pytest.raises(Exception, match="GraphQL errors"):
-            b.find_all(None, None, [b.symbol()]).to_rows()
-    finally:
-        server.shutdown()
+    http = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}/", asked
+    http.shutdown()
+
+
+def test_graphql(spark, server):
+    url, asked = server
+    props = (PropertyDef("Place", "place", "String"), PropertyDef("Flow", "flow", "Double"), PropertyDef("Day", "day", "Integer"))
+    names = ("gauges", "broken", "absent", "down")
+    m = Model("g", [EntityDef(n.title(), Source(n), props) for n in names])
+    schema = "place string, flow double, day int"
+    e = Engine(m, GraphQL(spark, {n: Endpoint(url, n, schema, processing_argument="seenAt", business_argument="onDay") for n in names}))
+    g = e.Gauges
+    # only the fields that the query uses, and the dates given to find_all
+    assert rows(g.find_all(None, None, [g.place()])) == [("Lock",), ("Weir",)] and asked[-1] == "{ gauges { place } }"
+    assert rows(g.find_all(None, "2016-02-29 06:45:00", [g.place(), g.flow()], g.flow().gt(10))) == [("Weir", 18.25)]
+    assert asked[-1] == '{ gauges(seenAt: "2016-02-29T06:45:00.000Z") { place flow } }'
+    assert rows(g.find_all("2016-02-29", None, [g.place()], g.day().is_null())) == [("Lock",)]
+    assert asked[-1] == '{ gauges(onDay: "2016-02-29") { place day } }'
+    assert rows(g.find_all("2016-02-29", "2016-03-01 00:00:00", [g.count()])) == [(2,)]
+    assert asked[-1] == '{ gauges(onDay: "2016-02-29", seenAt: "2016-03-01T00:00:00.000Z") { place } }'
+    assert [r[0] for r in g.find_all(None, None, [g.place()]).order_by(g.flow().descending()).limit(1).to_rows()] == ["Weir"] and asked[-1] == "{ gauges { place flow } }"
+    assert Endpoint(url, "p", "a int").text(["a"], "2016-02-29", "2016-02-29") == "{ p { a } }"
+    # a missing field has no rows; errors of the server and of the transport are raised
+    assert e.Absent.find_all(None, None, [e.Absent.place()]).to_rows() == []
+    for finder, message in ((e.Broken, "GraphQL errors"), (e.Down, "503")):
+        with pytest.raises(Exception, match=message):
+            finder.find_all(None, None, [finder.place()]).to_rows()
 
 
 def test_processing_kind_is_plain_data():

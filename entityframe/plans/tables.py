@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +46,41 @@ MODEL = Model(
 )
 
 
+_histories: dict[tuple[str, str, str], str] = {}
+
+
+def history(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of versions, written once in an application as a real one would be stored: dates reach its scan."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _histories:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="entityframe-")
+        path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+        make().write.parquet(path)
+        _histories[key] = path
+    return parquet(spark, _histories[key])
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     read = lambda name: parquet(spark, f"{sf_dir}/{name}.parquet")
 
-    def hist() -> DataFrame:
+    def versions() -> DataFrame:
         w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
         return read("orders").withColumn("in_z", F.col("o_orderdate")).withColumn("out_z", F.lead("o_orderdate").over(w))
 
+    def hist() -> DataFrame:
+        return history(spark, sf_dir, "orders_hist", versions)
+
     def orders() -> DataFrame:
         return read("orders").select("*", F.col("o_orderdate").cast("date").alias("o_date"), (F.col("o_orderstatus") == "F").alias("is_final"), F.col("o_totalprice").cast("decimal(15,2)").alias("price_dec"), (F.col("o_custkey") + 1).alias("ship_key"))
 
     def customers() -> DataFrame:
         return read("customer").withColumn("manager_id", F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 10")))
 
-    def events() -> DataFrame:
+    def event_versions() -> DataFrame:
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
         return read("events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("date").alias("day"), F.col("ts").alias("in_z"), F.lead("ts").over(w).alias("out_z"))
 
@@ -65,6 +91,6 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         "orders_hist": hist,
         "orders_hist_inf": lambda: hist().withColumn("out_z", F.coalesce("out_z", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))),
         "orders_bi": lambda: hist().withColumns({"biz_from": F.col("o_orderdate").cast("date"), "biz_to": F.date_add(F.col("o_orderdate").cast("date"), 90)}),
-        "events_hist": events,
+        "events_hist": lambda: history(spark, sf_dir, "events_hist", event_versions),
     }
     return Engine(MODEL, Frames(plain | derived))

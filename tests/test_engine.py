@@ -208,6 +208,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in text
 
 
+def test_dates_reach_the_scan_of_versions(spark):
+    v = engine(spark, SF).Version
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan_of(v.find_all(None, "1998-06-01 00:00:00", [v.key()]).to_df())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "Window" not in text and "LessThanOrEqual(in_z,1998-06-01T00:00)" in text and "Or(GreaterThan(out_z,1998-06-01T00:00),IsNull(out_z))" in text
+
+
 SQL_QUERIES = sorted(n for n in catalog.queries() if n.startswith(("q_filter_eq", "q_filter_or", "q_join", "q_exists", "q_not_exists", "q_group", "q_agg", "q_topk", "q_win_lag", "q_str_left", "q_date_add_d", "q_num_ceil", "q_cross")))
 
 

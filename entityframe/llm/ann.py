@@ -12,8 +12,8 @@ so the result is that of brute force, however crowded the vectors are.
 The centres are fitted to at most ``SAMPLE`` vectors, those of smallest id hash; every row
 is indexed. Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, or another number of components than the most frequent one, take no part; ties
-go to the smaller id; repeated ids are candidates each; an empty table gives no rows; other
-columns don't matter.
+go to the smaller id; rows of one id are queries and candidates each, all but the query's own
+row; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 SAMPLE, BLOCK, QUERIES = 20_000, 8_192, 512
 #: Weight of the parallel residual against the orthogonal one; candidates of a block whose exact scores set the bound for the others.
@@ -131,7 +131,7 @@ def unit(queries: np.ndarray) -> np.ndarray:
 
 
 def nearest(q: np.ndarray, u: np.ndarray, rough: np.ndarray, reach: np.ndarray, v: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the ``k`` best of ``others``, exactly: ``u`` is ``q`` of norm 1, ``rough`` are its table scores."""
+    """(places, scores) of the ``k`` best of ``others``, exactly: ``u`` is ``q`` of norm 1, ``rough`` are its table scores."""
     pick = _top(rough, ids, SCAN_KEEP + 1)
     pick = pick[others[pick]]
     exact = (v[pick] * q).sum(axis=1)
@@ -144,7 +144,7 @@ def nearest(q: np.ndarray, u: np.ndarray, rough: np.ndarray, reach: np.ndarray,
     more = np.flatnonzero(rest)
     pick, exact = np.concatenate([pick, more]), np.concatenate([exact, (v[more] * q).sum(axis=1)])
     best = _top(exact, ids[pick], k)
-    return ids[pick][best], exact[best]
+    return pick[best], exact[best]
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -162,62 +162,60 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     if not common:
         return spark.createDataFrame([], kinds).withColumnRenamed("vec_id", id_col)
     dim = common[0]["n"]
-    src = src.where(F.size("_v") == dim)
+    # written once, so that a row's number is the same for all that read it
+    rows = stored(src.where(F.size("_v") == dim).withColumn("_row", F.monotonically_increasing_id()), "ann-rows")
     pad = -dim % 4
-    sample = src.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_v").toArrow()
+    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_v").toArrow()
     x = np.array(sample.column(0).combine_chunks().flatten()).reshape(-1, dim)
     centres = fit(np.pad(x, ((0, 0), (0, pad))))
     model = spark.sparkContext.broadcast(centres)
 
+    def packed(arrays: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
                 part = b.slice(lo, BLOCK)
-                ids = part.column(0).to_numpy()
+                ids, number = part.column(0).to_numpy(), part.column(2).to_numpy()
                 v = np.array(part.column(1).flatten()).reshape(-1, dim)
-                order = np.argsort(ids, kind="stable")
-                ids, v = ids[order], v[order]
+                order = np.lexsort((number, ids))
+                ids, number, v = ids[order], number[order], v[order]
                 padded = np.pad(v, ((0, 0), (0, pad)))
                 codes = assign(padded.astype(np.float32), model.value)
                 reach = reaches(padded, codes, model.value)
-                packed = np.ascontiguousarray((codes[:, 0::2] | codes[:, 1::2] << 4).T)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([reach.astype("<f8").tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary())], names=["ids", "codes", "reach", "vectors"])
+                codes = np.ascontiguousarray((codes[:, 0::2] | codes[:, 1::2] << 4).T)
+                yield pa.RecordBatch.from_arrays(packed([ids.astype("<i8"), number.astype("<i8"), codes, reach.astype("<f8"), v.astype("<f8")]), names=["ids", "rows", "codes", "reach", "vectors"])
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, QUERIES):
                 part = b.slice(lo, QUERIES)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([np.array(part.column(1).flatten()).astype("<f8").tobytes()], pa.binary())], names=["q_ids", "q_vectors"])
-
-    whole = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BLOCK)}
-    before = {c: spark.conf.get(c) for c in whole}
-    for c, v in whole.items():
-        spark.conf.set(c, v)
-    try:
-        blocks = stored(src.mapInArrow(block, "ids binary, codes binary, reach binary, vectors binary"), "ann-index")
-        asked = src.where(F.col("_id") % every == 0)
-        n_asked = asked.count()
-        asked = stored(asked.repartition(max(1, -(-n_asked // QUERIES)), "_id").mapInArrow(queries, "q_ids binary, q_vectors binary"), "ann-queries")
-    finally:
-        for c, v in before.items():
-            spark.conf.set(c, v)
+                yield pa.RecordBatch.from_arrays(packed([part.column(0).to_numpy().astype("<i8"), part.column(2).to_numpy().astype("<i8"), np.array(part.column(1).flatten()).astype("<f8")]), names=["q_ids", "q_rows", "q_vectors"])
+
+    blocks = stored(rows.mapInArrow(block, "ids binary, rows binary, codes binary, reach binary, vectors binary"), "ann-index", BLOCK)
+    asked = rows.where(F.col("_id") % every == 0)
+    asked = stored(asked.repartition(max(1, -(-asked.count() // QUERIES)), "_row").mapInArrow(queries, "q_ids binary, q_rows binary, q_vectors binary"), "ann-queries", BLOCK)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                q_ids, q, ids, codes, reach, v = (np.frombuffer(b.column(i)[row].as_py(), t) for i, t in enumerate(("<i8", "<f8", "<i8", np.uint8, "<f8", "<f8")))
-                q, v, packed = q.reshape(-1, dim), v.reshape(-1, dim), codes.reshape(-1, len(ids))
+                q_ids, q_rows, q, ids, number, codes, reach, v = (np.frombuffer(b.column(i)[row].as_py(), t) for i, t in enumerate(("<i8", "<i8", "<f8", "<i8", "<i8", np.uint8, "<f8", "<f8")))
+                q, v, codes = q.reshape(-1, dim), v.reshape(-1, dim), codes.reshape(-1, len(ids))
                 found = []
                 for lo in range(0, len(q), 64):
                     units = unit(q[lo : lo + 64])
                     lut = tables(np.pad(units, ((0, 0), (0, pad))), model.value)
                     for i in range(len(lut)):
-                        me = q_ids[lo + i]
-                        found.append((me, *nearest(q[lo + i], units[i], scan(lut[i], packed), reach, v, ids, ids != me, k)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), me) for me, a, _ in found])), pa.array(np.concatenate([a for _, a, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
-
-    met = asked.repartition(max(1, asked.count())).crossJoin(blocks).select("q_ids", "q_vectors", "ids", "codes", "reach", "vectors")
-    near = met.mapInArrow(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+                        at, scores = nearest(q[lo + i], units[i], scan(lut[i], codes), reach, v, ids, number != q_rows[lo + i], k)
+                        found.append((np.full(len(at), lo + i), at, scores))
+                of, at, scores = (np.concatenate([f[i] for f in found]) for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(q_rows[of]), pa.array(q_ids[of]), pa.array(number[at]), pa.array(ids[at]), pa.array(scores)], names=["_query", "query_id", "_row", "vec_id", "score"])
+
+    met = asked.repartition(max(1, asked.count())).crossJoin(blocks).select("q_ids", "q_rows", "q_vectors", "ids", "rows", "codes", "reach", "vectors")
+    near = met.mapInArrow(meet, "_query long, query_id long, _row long, vec_id long, score double")
+    w = Window.partitionBy("_query").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("_row"))
     ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    out = stored(ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score"), "ann-found")
+    discard(rows, blocks, asked)
+    return out

@@ -5,8 +5,9 @@ start), packets are cut into lacing values, logical streams are told apart by th
 serial numbers, and timestamps come from granule positions.
 
 Defined results: null or empty texts are 64 zero bytes of payload; very long texts give
-many pages; equal texts give equal files (serials derive from the payload); other columns
-of the input don't matter. A damaged page raises ``ValueError``.
+many pages; equal texts and repeated rows give equal files (serials derive from the payload);
+an empty table gives an empty one; other columns of the input don't matter. A damaged page
+raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, slices
+from .common import release, text_batches
 
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 #: Samples in an audio packet, and samples a second of the timestamps.
@@ -136,8 +137,16 @@ def decode(data: bytes) -> tuple[bytes, Stream, int]:
 
 
 def timestamps(audio: Stream) -> list[tuple[int, float]]:
-    """(packet number, seconds at its end), for packets whose page tells it."""
-    return [(i, g / RATE) for i, g in enumerate(audio.granules) if g >= 0]
+    """(packet number, seconds at its end) of every packet.
+
+    A page's granule position is the count of samples at the end of its last packet; from there
+    the packets before it on the page are reached by the samples that each holds.
+    """
+    ends = list(audio.granules)
+    for i in range(len(ends) - 2, -1, -1):
+        if ends[i] < 0:
+            ends[i] = ends[i + 1] - len(audio.packets[i + 1])
+    return [(i, g / RATE) for i, g in enumerate(ends)]
 
 
 def feature_of(payload: bytes, audio: Stream, streams: int) -> str:
@@ -156,14 +165,10 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, n_bytes, media binary) of every row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0), batch_texts(b, "_text")
-            for lo, part in slices(texts):
-                media = [encode(padded(t)) for t in part]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(part)), pa.array(map(len, part), pa.int64()), pa.array(media, pa.binary())],
-                    names=["_id", "n_bytes", "media"],
-                )
+        for b, texts in text_batches(batches, "_text"):
+            media = [encode(padded(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=["_id", "n_bytes", "media"])
+        release()
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()

@@ -2,15 +2,17 @@
 
 Voters are lexicon entries (a hand-written list; whole words and word beginnings of four to six bytes, found
 by their association with labelled rows) and text patterns. A generative label model
-estimates each voter's rates of firing in either class and groups voters that fire
-together within a class (their evidence is shared, not multiplied). Its posteriors are
-the targets of a linear classifier over the votes, which scores every text.
+estimates, in turns, each row's class, each voter's rates of firing in either class, and the
+correlations of voters within a class (voters that fire together share their evidence). The
+given label is one more voter. The posteriors are the targets of a linear classifier over
+the votes, which scores every text.
 
 Fitting takes at most ``max_rows`` labelled rows, those of smallest id hash; scoring takes
 all rows, whole texts. Defined results: null and empty texts get the classifier's score of
-no vote; without labelled rows of both classes every score is the share of label 1 (0 if
-there is none); several labels of one id count as toxic if one does; null labels are
-ignored; other columns don't matter.
+no vote; very long texts are scored whole, in pieces; repeated rows get equal scores;
+without labelled rows of both classes every score is the share of label 1 (0 if there is
+none); several labels of one id count as toxic if one does; null labels are ignored; an
+empty table gives an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,33 +26,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, release, slices
+from .common import Rolling, pieces, release, slices, text_batches
 
 BITS, SLICE = 21, 1 << 16
 MAX_ROWS, VOTERS = 40_000, 256
 _STOP = np.ones(256, bool)
 _STOP[[*range(97, 123), *range(128, 256)]] = False
-#: A hand-written lexicon of common English insults, voters from the start.
-LEXICON = ("idiot", "moron", "stupid", "dumb", "fool", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "jerk", "filth", "vermin")
+_NO_LETTER = re.compile(rb"[^a-z\x80-\xff]")
+#: A hand-written lexicon of common insults in four languages, voters from the start.
+LEXICON = (
+    "idiot", "moron", "stupid", "dumb", "fool", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "jerk", "filth", "vermin", "idiots", "morons", "losers", "bastard", "creep", "garbage",
+    "dummkopf", "trottel", "blödmann", "arschloch", "abschaum", "versager", "widerlich", "schwachkopf",
+    "imbécil", "estúpido", "basura", "escoria", "asqueroso", "inútil", "payaso", "cabrón",
+    "crétin", "stupide", "ordure", "minable", "connard", "abruti", "salaud", "débile",
+)
 PATTERNS = (re.compile(r"!{2,}"), re.compile(r"\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b)+"), re.compile(r"[A-Za-z][*@#$]{1,4}[a-z]"))
 
 
 def features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, buckets, text of each from there) of runs of texts: words, then their beginnings."""
     lowered = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    for first, run in slices(lowered):
-        data = np.frombuffer(b" ".join(run) + b" ", np.uint8)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[1:] = ~_STOP[data]
-        edge = np.diff(inside)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in run]), start, side="right")
-        roll = Rolling(data)
-        spans = [(roll.spans(start, end), owner)]
-        for k in (4, 5, 6):
-            long = end - start > k
-            spans.append((roll.spans(start[long], start[long] + k) ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)), owner[long]))
-        yield first, (np.concatenate([h for h, _ in spans]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([o for _, o in spans])
+    for first, whole in slices(lowered):
+        if len(whole) > 1:
+            yield first, *_features(whole)
+        else:
+            found = np.unique(np.concatenate([np.unique(_features([p])[0]) for p in pieces(whole[0], _NO_LETTER)]))
+            yield first, found, np.zeros(len(found), np.int64)
+
+
+def _features(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b" ".join(run) + b" ", np.uint8)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[1:] = ~_STOP[data]
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in run]), start, side="right")
+    roll = Rolling(data)
+    spans = [(roll.spans(start, end), owner)]
+    for k in (4, 5, 6):
+        long = end - start > k
+        spans.append((roll.spans(start[long], start[long] + k) ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)), owner[long]))
+    return (np.concatenate([h for h, _ in spans]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([o for _, o in spans])
 
 
 def pattern_votes(text: str) -> list[bool]:
@@ -90,31 +106,28 @@ def design(votes: np.ndarray, k: int) -> np.ndarray:
     return np.column_stack([votes, lexicon > 0, np.log1p(lexicon)]).astype(np.float32)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Posterior of class 1 of each row: EM over the voters' firing rates.
+def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None, rounds: int = 8) -> np.ndarray:
+    """Posterior of class 1 of each row, which stands ``weight`` times: EM over the voters' firing rates and correlations.
 
-    The given label is one more voter, whose error rate is estimated with the others'.
-    Voters that correlate within a class above 0.5 form groups; a voter's evidence is
-    divided by the number of voters of its group.
+    The given label is one more voter, whose error rate is estimated with the others'. In
+    each round, voters that correlate within a class above 0.5 share their evidence: each
+    one's is divided by their number.
     """
-    q = np.where(labels == 1, 0.95, 0.05)
-    label = labels.astype(np.float64)
-    for r in range(rounds):
-        n1, n0 = q.sum(), (1 - q).sum()
-        p1 = (q @ votes + 0.5) / (n1 + 1)
-        p0 = ((1 - q) @ votes + 0.5) / (n0 + 1)
-        l1 = (q @ label + 1) / (n1 + 2)
-        l0 = ((1 - q) @ label + 1) / (n0 + 2)
-        if r == 0:
-            share = np.zeros(votes.shape[1])
-            centred = [(votes - p) * np.sqrt(w)[:, None] for p, w in ((p1, q), (p0, 1 - q))]
-            near = np.zeros((votes.shape[1],) * 2, bool)
-            for c in centred:
-                cov = (c.T @ c).astype(np.float64)
-                dev = np.sqrt(np.diag(cov)) + 1e-9
-                near |= cov / dev[:, None] / dev > 0.5
-            np.fill_diagonal(near, True)
-            share = 1 / near.sum(axis=1)
+    weight = np.ones(len(votes)) if weight is None else weight
+    votes, label = votes.astype(np.float64), labels.astype(np.float64)
+    q = np.where(label == 1, 0.95, 0.05)
+    for _ in range(rounds):
+        rates, near = [], np.zeros((votes.shape[1],) * 2, bool)
+        for part in (weight * q, weight * (1 - q)):
+            n = part.sum()
+            p = (part @ votes + 0.5) / (n + 1)
+            rates.append((n, p, (part @ label + 1) / (n + 2)))
+            cov = (votes.T * part) @ votes - np.outer(p, part @ votes) - np.outer(part @ votes, p) + n * np.outer(p, p)
+            dev = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+            near |= cov / dev[:, None] / dev > 0.5
+        np.fill_diagonal(near, True)
+        share = 1 / near.sum(axis=1)
+        (n1, p1, l1), (n0, p0, l0) = rates
         fire = np.log(p1) - np.log(p0)
         quiet = np.log1p(-p1) - np.log1p(-p0)
         z = np.log(n1) - np.log(n0) + votes @ ((fire - quiet) * share) + (quiet * share).sum()
@@ -123,15 +136,16 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.nd
     return q
 
 
-def linear_fit(x: np.ndarray, q: np.ndarray, rounds: int = 400, penalty: float = 2e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Nesterov's gradient steps; x: rows x features."""
+def linear_fit(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400, penalty: float = 2e-6) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Nesterov's gradient steps; x: rows x features, each row ``weight`` times."""
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
-    step = 4 / (1 + float((x.astype(np.float32) ** 2).sum(axis=1).mean()) * 2)
+    weight = weight / weight.sum()
+    step = 4 / (1 + float(weight @ (x.astype(np.float64) ** 2).sum(axis=1)) * 2)
     for r in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
-        g = (p - q).astype(np.float32)
-        nw, nb = vw - step * (x.T @ g / len(q) + penalty * vw), vb - step * float(g.mean())
+        g = (p - q) * weight
+        nw, nb = vw - step * (x.T @ g + penalty * vw), vb - step * float(g.sum())
         m = r / (r + 3)
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
@@ -151,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int32)
         n = np.zeros(2, np.int64)
-        for b in batches:
-            texts, y = [t or "" for t in b.column(0).to_pylist()], np.array(b.column(1).to_pylist(), np.int64)
+        for b, raw in text_batches(batches, "_text"):
+            texts, y = [t.decode() for t in raw], b.column(1).to_numpy()
             n += np.bincount(y, minlength=2)[:2]
             for first, bucket, owner in features(texts):
                 distinct = np.unique(owner << BITS | bucket)
@@ -180,14 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     counted = rows.mapInArrow(count, "slice int, counts binary, n0 long, n1 long").groupBy("slice").applyInArrow(rank, "bucket long, merit double, n0 long, n1 long")
     found = counted.orderBy(F.desc("merit"), "bucket").limit(voters).collect()
-    words = next(features([" ".join(LEXICON)]))[1][: len(LEXICON)]
+    words = _features([w.encode() for w in LEXICON])[0][: len(LEXICON)]
     model = Model(np.array(sorted({r["bucket"] for r in found} | set(words.tolist())), np.int64), np.empty(0), 0.0)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = model.votes([t or "" for t in b.column(0).to_pylist()])
-            packed = [np.packbits(x.astype(bool)).tobytes() for x in v]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(packed, pa.binary())], names=["y", "votes"])
+        for b, raw in text_batches(batches, "_text"):
+            packed = np.packbits(model.votes([t.decode() for t in raw]).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(map(bytes, packed)), pa.binary())], names=["y", "votes"])
 
     got = rows.mapInArrow(vote, "y int, votes binary").toArrow()
     y = np.array(got.column("y").to_pylist(), np.int64)
@@ -195,10 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.bias = float(y.mean()) if len(y) else 0.0
         return model
     k = len(model.buckets) + len(PATTERNS)
-    votes = np.unpackbits(np.frombuffer(b"".join(got.column("votes").to_pylist()), np.uint8).reshape(len(y), -1), axis=1, count=k).astype(np.float32)
-    order = np.lexsort((y, *votes.T[:1]))  # rows arrive in any order; sums must not depend on it much
-    votes, y = votes[order], y[order]
-    model.weights, model.bias = linear_fit(design(votes, len(model.buckets)), label_model(votes, y))
+    # equal rows count as one, in one order: no sum depends on the order in which rows arrive
+    packed = np.frombuffer(b"".join(got.column("votes").to_pylist()), np.uint8).reshape(len(y), -1)
+    distinct, weight = np.unique(np.column_stack([y.astype(np.uint8), packed]), axis=0, return_counts=True)
+    votes = np.unpackbits(np.ascontiguousarray(distinct[:, 1:]), axis=1, count=k).astype(np.float32)
+    posterior = label_model(votes, distinct[:, 0], weight)
+    model.weights, model.bias = linear_fit(design(votes, len(model.buckets)), posterior, weight.astype(np.float64))
     return model
 
 
@@ -207,25 +222,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                s = model.scores([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(s, 6), pa.float64())], names=["_id", "score"])
+        for b, raw in text_batches(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(model.scores([t.decode() for t in raw]), 6), pa.float64())], names=["_id", "score"])
+        release()
 
     return src.mapInArrow(step, f"_id {src.schema['_id'].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all their columns unchanged."""
-    at = docs.columns.index(text_col)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                s = np.round(model.scores([t or "" for t in part.column(at).to_pylist()]), 6)
-                yield part.filter(pa.array(s < threshold))
+        for b, raw in text_batches(batches, text_col):
+            yield b.filter(pa.array(np.round(model.scores([t.decode() for t in raw]), 6) < threshold))
         release()
 
     return docs.mapInArrow(step, docs.schema)

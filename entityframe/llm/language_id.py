@@ -6,7 +6,8 @@ function; rows are scored in numpy batches.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every
 text if no training row has a language; repeated rows count as often as they occur; very
-long texts are scored whole, in runs; other columns don't matter.
+long texts are scored whole; ties go to the first language by name; an empty table gives an
+empty one; other columns don't matter. More than ``MAX_LANGUAGES`` languages are an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import mix
 BUCKETS, SLICE, ORDERS = 1 << 16, 4096, (1, 2, 3)
 #: n-grams whose evidence counts in full; more are weighed down, so that scores stay below certainty.
 EVIDENCE = 40.0
+#: Languages that a model may have: they bound what is collected and broadcast (256 KB each as float32).
+MAX_LANGUAGES = 500
 _letters: list[np.ndarray] = []
 _codes: list[np.ndarray] = []
 
@@ -104,6 +107,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["lang", "slice", "counts", "n"])
 
     kinds = "lang string, slice int, counts binary, n long"
+    found = docs.select(F.col(lang_col)).where(F.col(lang_col).isNotNull()).distinct().limit(MAX_LANGUAGES + 1).count()
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would not fit a broadcast")
     src = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     got = src.mapInArrow(count, kinds).groupBy("lang", "slice").applyInArrow(total, kinds).collect()
     langs = sorted({r["lang"] for r in got})

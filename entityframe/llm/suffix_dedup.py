@@ -3,8 +3,8 @@
 1. Sharding by content. Each string of ``length`` bytes chooses a place in its first
    ``WINDOW`` bytes (the 8-byte gram of least hash), so equal strings choose alike. Strings
    that choose one place of a text form a context; contexts meet by the hash of what all
-   strings of the place share. A context that meets no other is unique; contexts that are
-   all equal repeat whole. Only mixed groups go on, each distinct context once with its count.
+   strings of the place share. A context that meets no other holds no repeat. All others go
+   on, each distinct context once with its count.
 2. Burrows-Wheeler transforms. In a bucket of groups, symbols are the hashes of ``length / D``
    bytes, and every residue of a context is a string of such symbols. Each shard of the
    bucket sorts its own suffixes and keeps its transform (the symbol before each suffix).
@@ -16,10 +16,11 @@
 Groups of more than ``HOT_CONTEXTS`` distinct contexts are not gathered in a task: their
 strings are counted one by one by hash, which gives the same answer.
 
-Defined results: null texts are empty; texts shorter than ``length`` keep all bytes; equal
-rows (copies of a text) repeat each other; ties don't exist; an empty table gives an empty
-one; other columns are kept untouched, work columns start with an underscore. Strings are
-compared by 64-bit hashes.
+Defined results: null texts are empty; texts shorter than ``length`` keep all bytes; very
+long texts are worked on in pieces that overlap by a string; equal rows (copies of a text)
+repeat each other; ties don't exist; an empty table gives an empty one; other columns are
+kept untouched, work columns start with an underscore. Strings are compared by 64-bit
+hashes, texts by a 64-bit hash and their size.
 """
 
 from __future__ import annotations
@@ -32,21 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batch_texts, release, slices, stored
+from .common import GRAM, STEP_BYTES, Rolling, discard, release, stored, text_batches
 
-GRAM, WINDOW = 8, 128
+WINDOW = 128
 #: Bytes of contexts that one merge takes; shards of a merge; contexts of a group beyond which strings are counted by hash.
 BUCKET_BYTES, SHARDS, HOT_CONTEXTS = 1_000_000, 4, 20_000
 
 
-def places(roll: Rolling, n_bytes: int, window: int) -> np.ndarray:
-    """For each start of a run of ``window`` grams, the place of the gram of least hash (the first, if equal)."""
-    n = n_bytes - GRAM + 1
+def places(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each start of a run of ``window`` grams, the place of the least gram (the first, if equal). At most 2**24 grams."""
+    n = len(grams)
     if n < window:
         return np.empty(0, np.int64)
-    at = np.arange(n)
+    if n > 1 << 24:
+        raise ValueError("too many grams: cut the text into pieces")
     low = np.uint64(0xFFFFFF)
-    least = (roll.spans(at, at + GRAM) & ~low) | (at.astype(np.uint64) & low)
+    least = (grams & ~low) | np.arange(n, dtype=np.uint64)
     span = 1
     while span * 2 <= window:
         least = np.minimum(least[:-span], least[span:])
@@ -54,8 +56,16 @@ def places(roll: Rolling, n_bytes: int, window: int) -> np.ndarray:
     m = n - window + 1
     if span < window:
         least = np.minimum(least[:m], least[window - span : window - span + m])
-    start = np.arange(m)
-    return start + (((least & low).astype(np.int64) - start) & 0xFFFFFF)
+    return (least & low).astype(np.int64)
+
+
+def stretches(texts: list[bytes], length: int, size: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first byte, texts): a long text alone in pieces, in which each of its strings of ``length`` bytes begins once."""
+    if len(texts) != 1 or len(texts[0]) < 2 * size:
+        yield 0, texts
+        return
+    for at in range(0, len(texts[0]) - length + 1, size):
+        yield at, [texts[0][at : at + size + length - 1]]
 
 
 def contexts(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -65,7 +75,7 @@ def contexts(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(run), np.uint8)
     ends = np.cumsum(sizes)
     roll = Rolling(data)
-    place = places(roll, len(data), window)
+    place = places(roll.grams[: max(len(data) - GRAM + 1, 0)], window)
     start = np.arange(len(place))
     text = np.minimum(np.searchsorted(ends, start, side="right"), len(run) - 1)
     inside = start + length <= ends[text]
@@ -205,30 +215,31 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
-    """(_text_id, _spans: sorted begin and end bytes of strings that start elsewhere too) of texts that have some."""
+    """(_text_id, _size, _spans: sorted begin and end bytes of strings that start elsewhere too) of texts that have some."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    texts = with_text_id(docs, text_col).select("_text_id", "_bytes")
+    texts = with_text_id(docs, text_col).select("_text_id", "_size", "_bytes")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.array(b.column(0))
-            for first, run in slices(batch_texts(b, "_bytes")):
+        for b, whole in text_batches(batches, "_bytes"):
+            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for base, run in stretches(whole, length):
                 text, left, last, key, content = contexts(run, length)
-                one, count, more = collapsed(text, left, last + length, content)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + text[one]]), pa.array(left[one].astype(np.int32)), pa.array(last[one].astype(np.int32)), _long(key[one]), _long(content[one]), pa.array(count), pa.array(more, pa.list_(pa.int32()))], names=["_text_id", "_left", "_last", "_key", "_content", "_times", "_more"])
+                one, count, more = collapsed(text, left + base, last + base + length, content)
+                of = text[one]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(sizes[of]), pa.array((left[one] + base).astype(np.int32)), pa.array((last[one] + base).astype(np.int32)), _long(key[one]), _long(content[one]), pa.array(count), pa.array(more, pa.list_(pa.int32()))], names=["_text_id", "_size", "_left", "_last", "_key", "_content", "_times", "_more"])
         release()
 
-    rows = texts.mapInArrow(find, "_text_id long, _left int, _last int, _key long, _content long, _times long, _more array<int>")
-    shared = rows.groupBy("_key").agg(F.sum("_times").alias("_n"), F.min("_content").alias("_lo"), F.max("_content").alias("_hi")).where("_n > 1")
-    met = stored(rows.join(shared.select("_key", (F.col("_lo") != F.col("_hi")).alias("_mixed")), "_key"), "suffix-contexts")
+    rows = texts.mapInArrow(find, "_text_id long, _size int, _left int, _last int, _key long, _content long, _times long, _more array<int>")
+    shared = rows.groupBy("_key").agg(F.sum("_times").alias("_n")).where("_n > 1").select("_key")
+    met = stored(rows.join(shared, "_key"), "suffix-contexts")
 
-    distinct = met.where("_mixed").groupBy("_key", "_content").agg(F.sum("_times").alias("_count"), F.min(F.struct("_text_id", "_left", "_last")).alias("_at"))
+    distinct = met.groupBy("_key", "_content").agg(F.sum("_times").alias("_count"), F.min(F.struct("_text_id", "_size", "_left", "_last")).alias("_at"))
     hot = distinct.groupBy("_key").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > HOT_CONTEXTS).select("_key", F.lit(True).alias("_hot"))
-    wanted = distinct.join(hot, "_key", "left").select(F.col("_at._text_id").alias("_text_id"), F.struct(F.col("_at._left").alias("l"), F.col("_at._last").alias("r"), F.col("_key").alias("k"), F.col("_content").alias("c"), F.col("_count").alias("n"), F.coalesce("_hot", F.lit(False)).alias("h")).alias("_w"))
-    wanted = wanted.groupBy("_text_id").agg(F.collect_list("_w").alias("_w"))
+    wanted = distinct.join(hot, "_key", "left").select(F.col("_at._text_id").alias("_text_id"), F.col("_at._size").alias("_size"), F.struct(F.col("_at._left").alias("l"), F.col("_at._last").alias("r"), F.col("_key").alias("k"), F.col("_content").alias("c"), F.col("_count").alias("n"), F.coalesce("_hot", F.lit(False)).alias("h")).alias("_w"))
+    wanted = wanted.groupBy("_text_id", "_size").agg(F.collect_list("_w").alias("_w"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,8 +248,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
                 left, last = np.array(w[0]), np.array(w[1])
                 yield pa.RecordBatch.from_arrays([w[2], w[3], w[4], w[5], pa.array([t[x:y] for x, y in zip(left.tolist(), (last + length).tolist(), strict=True)], pa.binary())], names=["_key", "_content", "_count", "_hot", "_string"])
 
-    one_each = texts.groupBy("_text_id").agg(F.first("_bytes").alias("_bytes"))
-    strings = stored(one_each.join(wanted, "_text_id").select("_bytes", "_w").mapInArrow(cut, "_key long, _content long, _count long, _hot boolean, _string binary"), "suffix-strings")
+    one_each = texts.groupBy("_text_id", "_size").agg(F.first("_bytes").alias("_bytes"))
+    strings = stored(one_each.join(wanted, ["_text_id", "_size"]).select("_bytes", "_w").mapInArrow(cut, "_key long, _content long, _count long, _hot boolean, _string binary"), "suffix-strings")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -277,16 +288,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
     again = single.groupBy("_hash").agg(F.sum("_count").alias("_n")).where("_n > 1").select("_hash")
     warm = single.join(again, "_hash").select("_key", "_content", F.col("_a").alias("a"), F.col("_a").alias("b"))
 
-    mixed = met.where("_mixed").join(cold.unionByName(warm), ["_key", "_content"]).select("_text_id", (F.col("_left") + F.col("a")).alias("a"), (F.col("_left") + F.col("b") + length).alias("b"))
-    plain = met.where("NOT _mixed").select("_text_id", F.col("_left").alias("a"), (F.col("_last") + length).alias("b"))
-    ends = met.where("_more IS NOT NULL").select("_text_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_more") - 2, F.lit(2)), lambda i: F.struct(F.get("_more", i).alias("a"), F.get("_more", i + 1).alias("b")))).alias("_s")).select("_text_id", "_s.a", "_s.b")
-    return plain.unionByName(mixed).unionByName(ends).groupBy("_text_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("_spans"))
+    # a context that stands more than once in a text has _more, the bytes of all its places: the merge found it repeated whole
+    found = met.join(cold.unionByName(warm), ["_key", "_content"])
+    here = F.array(F.struct((F.col("_left") + F.col("a")).alias("a"), (F.col("_left") + F.col("b") + length).alias("b")))
+    there = F.transform(F.sequence(F.lit(0), F.size("_more") - 2, F.lit(2)), lambda i: F.struct(F.get("_more", i).alias("a"), F.get("_more", i + 1).alias("b")))
+    spans = found.select("_text_id", "_size", F.explode(F.when(F.col("_more").isNull(), here).otherwise(there)).alias("_s"))
+    out = stored(spans.groupBy("_text_id", "_size").agg(F.sort_array(F.collect_set("_s")).alias("_spans")), "suffix-spans")
+    discard(met, strings)
+    return out
 
 
 def with_text_id(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _bytes (null: empty) and _text_id, a hash of them."""
+    """``docs`` with _bytes (null: empty), _text_id, a hash of them, and _size."""
     data = docs.withColumn("_bytes", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    return data.withColumn("_text_id", F.xxhash64("_bytes"))
+    return data.withColumns({"_text_id": F.xxhash64("_bytes"), "_size": F.octet_length("_bytes")})
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -328,7 +343,7 @@ def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, pa.string()], strict=True))], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     src = with_text_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
-    joined = src.join(repeated_spans(docs, length, text_col), "_text_id", "left").select("_id", "_bytes", "_spans")
+    joined = src.join(repeated_spans(docs, length, text_col), ["_text_id", "_size"], "left").select("_id", "_bytes", "_spans")
     return joined.mapInArrow(step, f"_id {src.schema['_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_id", id_col)
 
 
@@ -342,5 +357,5 @@ def apply(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names, at = docs.columns, docs.columns.index(text_col)
-    joined = with_text_id(docs, text_col).join(repeated_spans(docs, length, text_col), "_text_id", "left").select(*docs.columns, "_spans")
+    joined = with_text_id(docs, text_col).join(repeated_spans(docs, length, text_col), ["_text_id", "_size"], "left").select(*docs.columns, "_spans")
     return joined.mapInArrow(step, docs.schema)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from entityframe.llm import ngram_join, suffix_dedup
+from entityframe.llm import common, ngram_join, suffix_dedup
 
 
 def brute_spans(texts, length):
@@ -48,6 +48,60 @@ def test_spans_equal_brute_force(spark, monkeypatch, seed, length, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(flags.sum()), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_long_text_in_pieces_equals_brute_force(spark):
+    """A text of many pieces repeats itself across their borders and holds a passage of another text."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 3_000_000).astype(np.uint8).tobytes()
+    size = suffix_dedup.STEP_BYTES
+    at = [100, size - 150, 2 * size - 60, 2_900_000]
+    passage = rng.integers(65, 91, 300).astype(np.uint8).tobytes()
+    for i, a in enumerate(at):  # unlike bytes beside each, so that no match is longer
+        text = text[: a - 1] + b"%d" % i + passage + b"%d" % (i + 4) + text[a + 301 :]
+    other = b"z" * 50 + passage[:250]
+    df = spark.createDataFrame([(1, text.decode()), (2, other.decode())], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.digests(df).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, got[2].n_spans) == (1200, 4, 250, 1)
+    kept = text
+    for a in reversed(at):
+        kept = kept[:a] + kept[a + 300 :]
+    assert got[1].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_places_beyond_24_bits_are_refused_and_never_wrap():
+    with pytest.raises(ValueError):
+        suffix_dedup.places(np.zeros((1 << 24) + 1, np.uint64), 128)
+    grams = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
+    got = suffix_dedup.places(grams, 100)
+    assert got.tolist() == [i + int(np.argmin(grams[i : i + 100] >> np.uint64(24))) for i in range(len(grams) - 99)]
+
+
+def thue_morse(n):
+    t = np.zeros(1, np.uint8)
+    while len(t) < n:
+        t = np.concatenate([t, 1 - t])
+    return t
+
+
+def test_words_built_to_collide_modulo_a_power_of_two_differ(spark):
+    t = thue_morse(1024)
+    words = [(t + 97).tobytes().decode(), (98 - t).tobytes().decode()]
+    df = spark.createDataFrame([(11, words[0]), (12, words[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.components(df).collect()) == [(11, 11), (12, 12)]
+    assert [r.n_removed for r in suffix_dedup.digests(df, 1000).collect()] == [0, 0]
+
+
+def test_spans_of_every_length_hash_their_bytes_alone():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    roll = common.Rolling(data)
+    start, end = np.divmod(np.arange(400 * 40), 40)
+    end = np.minimum(start + end, 400)
+    seen = {}
+    for s, e, h in zip(start.tolist(), end.tolist(), roll.spans(start, end).tolist(), strict=True):
+        assert seen.setdefault(data[s:e].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_merge_gives_the_common_prefixes():
     strings = [[3, 1, 2, 1, 2], [1, 2, 1], [2, 1, 2, 3]]
     tables = [suffix_dedup.transform(np.array(s), np.array([*range(1, len(s)), -1]))[0] for s in strings]
@@ -85,12 +139,11 @@ def near_copies(seed):
     return [*docs, (600, ""), (601, None), (602, "a"), (603, "A"), (604, " \t "), (605, docs[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(0, 4, 85), (1, 5, 80), (2, 2, 60)])
-def test_components_equal_brute_force(spark, seed, k, percent):
-    docs = near_copies(seed)
+def components_by_brute_force(docs, k, percent, words=str.split):
+    """(set of each document, least id that links reach)."""
     sets = {}
     for i, t in docs:
-        w = (t or "").lower().split()
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
     least = {i: i for i in sets}
 
@@ -106,9 +159,32 @@ def test_components_equal_brute_force(spark, seed, k, percent):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 u, v = find(i), find(j)
                 least[max(u, v)] = min(u, v)
+    return sets, {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("seed", "k", "percent"), [(0, 4, 85), (1, 5, 80), (2, 2, 60)])
+def test_components_equal_brute_force(spark, seed, k, percent):
+    docs = near_copies(seed)
+    sets, least = components_by_brute_force(docs, k, percent)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS _t", "2 AS component_id").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, k, percent).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    assert got == {i: (len(sets[i]), least[i]) for i in sets}
+
+
+def test_members_dealt_anew_lose_no_link(spark, monkeypatch):
+    """Documents that share a passage, and pairs of near copies among them: no rounds of one-member meetings, tiny tables."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for i in range(60):
+        own = [f"o{i // 2}_{j}" for j in range(int(rng.integers(5, 60)))]
+        docs.append((i, " ".join(passage + (docs and i % 2 and docs[-1][1].split()[40:] or own) + ([f"x{i}"] if i % 2 else []))))
+    sets, least = components_by_brute_force(docs, 3, 80)
+    assert 20 < len(set(least.values())) < 60
+    got = {r.doc_id: r.component_id for r in ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80).collect()}
+    assert got == least
 
 
 def test_join_of_empty_and_unlinked(spark):
@@ -126,6 +202,36 @@ def test_row_without_id_links_two_others(spark):
     assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (2, 1)]
 
 
+def test_repeated_rows_cost_no_more_than_one(spark):
+    """Two linked texts in 500 equal rows each, rows without id among them: the joins see one set of each class."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59)) + " x"
+    rows = [(5, a)] * 500 + [(7, b)] * 250 + [(None, b)] * 250
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.components(df).collect()
+    assert len(got) == 1000 and {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(5, 56, 5), (7, 56, 5), (None, 56, 5)}
+    assert [r.doc_id for r in ngram_join.deduplicate(df).collect()] == [5]
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    """One id with two texts, rows without id, texts without words, other columns that differ or clash."""
+    words = [f"w{i}" for i in range(40)]
+    t = [" ".join(words), " ".join(words[:39]), "other text of six plain words"]
+    rows = [(1, t[0], "a"), (1, t[2], "b"), (2, t[1], "c"), (None, t[2], "d"), (None, "no id but seven words in it", "e"), (None, "no id but seven words in it", "f"), (3, None, "g"), (3, " \t", "h"), (3, "", "i"), (4, t[0], "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ra string")
+    got = ngram_join.deduplicate(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, t[0]), (1, t[2]), (None, "no id but seven words in it"), (3, None), (3, " \t"), (3, "")]))
+
+
+def test_very_long_text_links(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 400_000)]
+    changed = [w if i % 1000 else "changed" for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:200_000]))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.components(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_gap_code_round_trip():
     for cells in (np.array([0, 0, 254, 255, 510, 65535]), np.sort(np.random.default_rng(0).integers(0, 65536, 3000))):
         assert ngram_join.cells_of(ngram_join.gaps_of(cells)).tolist() == cells.tolist()

@@ -89,14 +89,19 @@ def test_stages_and_run(spark, folder):
     for r, t, flags in zip(order, raw, brute_spans(raw, 200), strict=True):
         assert (cut[r.doc_id].text or "").encode() == bytes(np.frombuffer(t, np.uint8)[~flags])
         assert (cut[r.doc_id].text is None) == (r.text is None) and cut[r.doc_id][2:4] == r[2:4]
+        assert cut[r.doc_id].n_chars == (r.n_chars if r.text is None else len(cut[r.doc_id].text))
 
-    # mixing: each document as often as the mix takes it
+    # mixing: each document as often as the mix takes it; what rounding leaves is carried along its source
     taken = {r._id: (r._taken, r._size) for r in mixing.mix(frames[3]).collect()}
+    source = {r.doc_id: r.source for r in inputs[3]}
     times = {i: 0 for i in taken}
     for r in inputs[4]:
         times[r.doc_id] += 1
         assert r.text == cut[r.doc_id].text
-    assert times == {i: int(t / n + 0.5) if n else 0 for i, (t, n) in taken.items()}
+    share = {i: t / n if n else 0 for i, (t, n) in taken.items()}
+    assert all(abs(times[i] - share[i]) < 1 and (share[i] or not times[i]) for i in times)
+    for s in set(source.values()):
+        assert abs(sum(times[i] - share[i] for i in times if source[i] == s)) <= 0.5 + 1e-6
 
     # token ids of the library, and the text back
     library = Tokenizer.from_file(tokenizer_path())

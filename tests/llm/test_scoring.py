@@ -50,6 +50,20 @@ def test_search_finds_the_nearest_among_near_copies(spark):
         assert got == brute_nearest(rows, every=300)
 
 
+def test_rows_of_one_id_are_queries_and_candidates_each(spark):
+    """Two rows have the id 20: each asks for itself, and has the other as a candidate."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in (0, *range(1, 40), 20, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(df, k=5).collect())
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted(((-float(np.dot(v, w)), i) for m, (i, w) in enumerate(rows) if m != n))[:5]
+            want += [(q, r + 1, i, round(-s, 9)) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 15
+
+
 def test_search_hostile_rows(spark):
     """Rows that take no part, ties between copies, fewer candidates than asked for, clashing names."""
     rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (20, [1.0, None, 1.0]), (40, [float("nan"), 1.0, 1.0]), (60, [float("inf"), 1.0, 1.0]), (80, [1.0, 1.0]), (100, [0.5, 0.0, 0.0]), (7, [-1.0, 0.0, 0.0])]
@@ -90,6 +104,56 @@ def test_toxicity_catches_held_out_rows_and_leaves_clean_ones(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.7}
 
 
+def plain_label_model(votes, labels, rounds):
+    """The same estimates by loops over rows and voters."""
+    from math import exp, log, sqrt
+
+    n, m = len(votes), len(votes[0])
+    q = [0.95 if y else 0.05 for y in labels]
+    for _ in range(rounds):
+        est, near = [], [[i == j for j in range(m)] for i in range(m)]
+        for soft in (q, [1 - x for x in q]):
+            total = sum(soft)
+            p = [(sum(s * v[j] for s, v in zip(soft, votes, strict=True)) + 0.5) / (total + 1) for j in range(m)]
+            est.append((total, p, (sum(s * y for s, y in zip(soft, labels, strict=True)) + 1) / (total + 2)))
+            cov = [[sum(s * (v[i] - p[i]) * (v[j] - p[j]) for s, v in zip(soft, votes, strict=True)) for j in range(m)] for i in range(m)]
+            for i in range(m):
+                for j in range(m):
+                    near[i][j] |= cov[i][j] / (sqrt(cov[i][i]) + 1e-9) / (sqrt(cov[j][j]) + 1e-9) > 0.5
+        (n1, p1, l1), (n0, p0, l0) = est
+        for k in range(n):
+            z = log(n1) - log(n0) + (log(l1 / l0) if labels[k] else log((1 - l1) / (1 - l0)))
+            for j in range(m):
+                z += (log(p1[j] / p0[j]) if votes[k][j] else log((1 - p1[j]) / (1 - p0[j]))) / sum(near[j])
+            q[k] = 1 / (1 + exp(-max(-30, min(30, z))))
+    return q
+
+
+def test_label_model_equals_plain_loops_and_discounts_copies():
+    rng = np.random.default_rng(3)
+    y = rng.random(300) < 0.3
+    labels = np.where(rng.random(300) < 0.1, ~y, y).astype(int)
+    rates = np.array([[0.1, 0.8], [0.05, 0.5], [0.3, 0.4], [0.02, 0.6]])
+    votes = (rng.random((300, 4)) < rates[:, y.astype(int)].T).astype(int)
+    copied = np.column_stack([votes, votes[:, :1], votes[:, :1]])
+    for v in (votes, copied):
+        assert toxicity.label_model(v, labels).tolist() == pytest.approx(plain_label_model(v.tolist(), labels.tolist(), 8), abs=1e-9)
+    plain, with_copies = toxicity.label_model(votes, labels), toxicity.label_model(copied, labels)
+    assert np.abs(plain - with_copies).max() < 0.02
+    assert ((plain > 0.5) == y).mean() > 0.93 > ((labels == 1) == y).mean()
+    # a row that stands several times is several rows
+    weight = rng.integers(1, 4, 300)
+    assert toxicity.label_model(votes, labels, weight).tolist() == pytest.approx(toxicity.label_model(np.repeat(votes, weight, 0), np.repeat(labels, weight))[np.cumsum(weight) - 1].tolist())
+
+
+def test_scores_of_pieces_are_those_of_the_whole(monkeypatch):
+    text = "river idiot " * 40_000 + "scum!! " + "x" * 1_200_000 + " moron" + " window" * 100_000
+    model = toxicity.Model(np.sort(toxicity._features([b"idiot", b"scum", b"moron", b"window", b"vermin"])[0][:5]), np.empty(0), 0.0)
+    cut = model.votes(["a", text, "idiot"])
+    monkeypatch.setattr(toxicity, "pieces", lambda t, gap: [t])
+    assert (model.votes(["a", text, "idiot"]) == cut).all() and cut.sum(axis=1).tolist() == [0, 5, 1]
+
+
 @pytest.mark.parametrize("max_rows", [3, 60, 250])
 def test_toxicity_fits_the_rows_of_smallest_hash(spark, max_rows):
     """The cut of the hash range before the last sort changes no row of the fit."""
@@ -159,6 +223,13 @@ def test_language_equals_brute_force_on_given_documents(spark):
     assert sum(got[r.doc_id] == r.lang for r in known) >= 0.95 * len(known)
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.fit(df)
+
+
 def test_language_hostile_rows(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "el gato y el perro", "es"), (2, "el gato y el perro", "es"), (3, None, "en"), (4, "", "es"), (5, "12 !? 34", None), (None, "the dog", None), (6, "the cat " * 200_000, None), (7, "\U00030000\U00030001", None), (8, "\0a\0", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS _id", "3 AS lang_pred")

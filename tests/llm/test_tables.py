@@ -108,7 +108,7 @@ def test_ogg_round_trip_and_timestamps(n):
     back, audio, streams = media_ogg.decode(data)
     assert back == payload and streams == 2
     stamps = media_ogg.timestamps(audio)
-    assert stamps[-1] == (len(audio.packets) - 1, n / media_ogg.RATE) and stamps == sorted(stamps)
+    assert stamps == [(i, min(n, i * media_ogg.PACKET) / media_ogg.RATE) for i in range(len(audio.packets))]
     for at in (0, 5, len(data) // 2, len(data) - 1):
         with pytest.raises(ValueError):
             media_ogg.demux(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])

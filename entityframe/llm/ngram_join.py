@@ -9,9 +9,12 @@ document: it sets the order only, so its errors cost time and not links.
 
 Documents of equal sets are one class, known by a hash of its set, with one whole set.
 Links are found without all pairs of a bucket: in a few rounds each bucket's members meet
-one member, linked classes become one component, and what is left, pairs of different
-components, is verified whole. The result is components and not links: pairs within a
-component are left out, so most links of a group of near copies are never found.
+one member, and linked classes become one component. Members of buckets that then hold
+several components are dealt to buckets anew, under one more order, that of their shingles'
+exact counts among these members: passages that many share go last, however full the table
+of frequencies is. There pairs of different components are verified whole. The result is
+components and not links: pairs within a component are left out, so most links of a group
+of near copies are never found.
 Components grow by label spreading with pointer jumping, each round written to the shared
 folder.
 
@@ -271,10 +274,25 @@ def classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
         buckets, any_link = joined(buckets, verified(pairs_of(buckets, member)))
         if not any_link:
             break
-    # all pairs of different components: in each bucket, the members outside its largest component meet all
-    sizes = buckets.groupBy("_t", "_comp").agg(F.count(F.lit(1)).alias("_size")).groupBy("_t").agg(F.max_by("_comp", F.struct("_size", "_comp")).alias("_major"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
-    minor = buckets.join(sizes, "_t").where("_comp != _major").select("_t", "_key", "_n", "_m", "_comp")
-    all_links.append(stored(verified(pairs_of(minor, buckets)), "join-links"))
+    # what is left, members of buckets with several components, is dealt anew, under the order of exact counts among them
+    left = buckets.groupBy("_t").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_t")
+    members = stored(buckets.join(left, "_t").groupBy("_key").agg(F.max("_n").alias("_n"), F.max("_comp").alias("_comp")), "join-members")
+    used.append(members)
+    if not members.isEmpty():
+        spelled = sets.join(members.select("_key"), "_key").select("_key", F.explode("_set").alias("_t"))
+        often = spelled.groupBy("_t").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+        ranked = spelled.join(often, "_t").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_df", F.xxhash64("_t").alias("_h"), "_t"))).alias("_often"))
+        # shingles that nobody else has come first; they only take up places of the prefix
+        alone = F.col("_n") - F.size("_often")
+        length = F.col("_n") - F.ceil(F.col("_n") * percent / 100) + 1
+        first = members.join(ranked, "_key").select("_key", "_n", "_comp", alone.alias("_alone"), F.slice("_often", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")).alias("_first"))
+        exact = first.select("_key", "_n", "_comp", "_alone", F.posexplode("_first").alias("_at", "_o"))
+        exact = stored(exact.select(F.col("_o._t").alias("_t"), "_key", "_n", (F.col("_n") - F.col("_alone") - F.col("_at")).alias("_m"), "_comp"), "join-exact")
+        used.append(exact)
+        # in each bucket, the members outside its largest component meet all
+        sizes = exact.groupBy("_t", "_comp").agg(F.count(F.lit(1)).alias("_size")).groupBy("_t").agg(F.max_by("_comp", F.struct("_size", "_comp")).alias("_major"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
+        minor = exact.join(sizes, "_t").where("_comp != _major").select("_t", "_key", "_n", "_m", "_comp")
+        all_links.append(stored(verified(pairs_of(minor, exact)), "join-links"))
 
     every = all_links[0]
     for links in all_links[1:]:

@@ -30,6 +30,8 @@ from .common import Rolling, pieces, release, slices, text_batches
 
 BITS, SLICE = 21, 1 << 16
 MAX_ROWS, VOTERS = 40_000, 256
+#: Correlation within a class from which voters share their evidence: a word and its beginning, not words that one text happens to hold.
+CORRELATED = 0.8
 _STOP = np.ones(256, bool)
 _STOP[[*range(97, 123), *range(128, 256)]] = False
 _NO_LETTER = re.compile(rb"[^a-z\x80-\xff]")
@@ -110,7 +112,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray | None
     """Posterior of class 1 of each row, which stands ``weight`` times: EM over the voters' firing rates and correlations.
 
     The given label is one more voter, whose error rate is estimated with the others'. In
-    each round, voters that correlate within a class above 0.5 share their evidence: each
+    each round, voters that correlate within a class above ``CORRELATED`` share their evidence: each
     one's is divided by their number.
     """
     weight = np.ones(len(votes)) if weight is None else weight
@@ -124,7 +126,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray | None
             rates.append((n, p, (part @ label + 1) / (n + 2)))
             cov = (votes.T * part) @ votes - np.outer(p, part @ votes) - np.outer(part @ votes, p) + n * np.outer(p, p)
             dev = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
-            near |= cov / dev[:, None] / dev > 0.5
+            near |= cov / dev[:, None] / dev > CORRELATED
         np.fill_diagonal(near, True)
         share = 1 / near.sum(axis=1)
         (n1, p1, l1), (n0, p0, l0) = rates

@@ -119,7 +119,7 @@ def plain_label_model(votes, labels, rounds):
             cov = [[sum(s * (v[i] - p[i]) * (v[j] - p[j]) for s, v in zip(soft, votes, strict=True)) for j in range(m)] for i in range(m)]
             for i in range(m):
                 for j in range(m):
-                    near[i][j] |= cov[i][j] / (sqrt(cov[i][i]) + 1e-9) / (sqrt(cov[j][j]) + 1e-9) > 0.5
+                    near[i][j] |= cov[i][j] / (sqrt(cov[i][i]) + 1e-9) / (sqrt(cov[j][j]) + 1e-9) > toxicity.CORRELATED
         (n1, p1, l1), (n0, p0, l0) = est
         for k in range(n):
             z = log(n1) - log(n0) + (log(l1 / l0) if labels[k] else log((1 - l1) / (1 - l0)))

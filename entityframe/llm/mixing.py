@@ -8,8 +8,10 @@ a seeded start, which gives the words that the mix takes of each document.
 
 What reaches the driver is one row for each source. Defined results: null texts have no
 words; null sources are one source, last in order; repeated rows share the ring position of
-their kind but are counted each; an empty table gives an empty one; other columns with
-clashing names don't matter, since all work columns are prefixed.
+their kind but are counted each (of rows equal in id and text but not in other columns, either
+may get the words of the other); reruns agree, whatever the order of rows; an empty table
+gives an empty one; other columns with clashing names don't matter, since all work columns
+are prefixed.
 """
 
 from __future__ import annotations
@@ -47,31 +49,37 @@ def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return {s: float(out.get(s, 0.0)) for s in order}
 
 
-def apportion(claims: list[float], seats: int, most: list[int]) -> list[int]:
+def apportion(claims: list[float] | np.ndarray, seats: int, most: list[int] | np.ndarray) -> list[int]:
     """Sainte-Lague: ``seats`` by highest quotients claim / (2 k + 1), ties to the earlier claim, at most ``most`` each.
 
     A common divisor gives nearly all seats at once; the last ones are dealt by the heap of quotients.
     """
-    seats = min(seats, sum(m for c, m in zip(claims, most, strict=True) if c > 0))
+    claims, most = np.asarray(claims, np.float64), np.asarray(most, np.int64)
+    most = np.where(claims > 0, most, 0)
+    seats = min(seats, int(most.sum()))
     if seats <= 0:
         return [0] * len(claims)
 
-    def at(divisor: float) -> list[int]:
-        return [min(m, max(0, math.floor(c / divisor + 0.5))) if c > 0 else 0 for c, m in zip(claims, most, strict=True)]
+    def at(divisor: float) -> np.ndarray:
+        return np.minimum(most, np.minimum(np.floor(claims / divisor + 0.5), 2.0**62).astype(np.int64))
 
-    lo, hi = min(c for c in claims if c > 0) / (2 * max(most) + 2), 2 * max(claims) + 1
+    lo, hi = claims[claims > 0].min() / (2 * int(most.max()) + 2), 2 * claims.max() + 1
     for _ in range(100):
         mid = math.sqrt(lo * hi)
-        lo, hi = (lo, mid) if sum(at(mid)) <= seats else (mid, hi)
+        lo, hi = (lo, mid) if at(mid).sum() <= seats else (mid, hi)
     out = at(hi * (1 + 1e-12))
-    heap = [(-c / (2 * k + 1), i) for i, (c, k, m) in enumerate(zip(claims, out, most, strict=True)) if c > 0 and k < m]
+    left = seats - int(out.sum())
+    # whoever gets one of the last seats is among as many highest quotients
+    free = np.flatnonzero(out < most)
+    free = free[np.lexsort((free, -(claims[free] / (2 * out[free] + 1))))[:left]]
+    heap = [(-claims[i] / (2 * out[i] + 1), i) for i in free.tolist()]
     heapq.heapify(heap)
-    for _ in range(seats - sum(out)):
+    for _ in range(left):
         _, i = heapq.heappop(heap)
         out[i] += 1
         if out[i] < most[i]:
             heapq.heappush(heap, (-claims[i] / (2 * out[i] + 1), i))
-    return out
+    return out.tolist()
 
 
 def words_in(text):
@@ -88,7 +96,9 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     """
     size = words_in(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"), *([F.struct(*docs.columns).alias("_row")] if keep else []))
-    meta = stored(sized.drop("_row"), "mix-sizes")
+    # written once: a row's number is the same for all that read it, and whole rows meet their copies in one shuffle
+    whole = stored(sized.withColumn("_number", F.monotonically_increasing_id()), "mix-rows")
+    meta = whole.drop("_row")
     by_source = {r["_source"]: int(r["n"]) for r in meta.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}
     goal = targets(by_source, weights, share, most)
     names = list(goal)
@@ -99,13 +109,15 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
 
     def quota(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = key[0].as_py()
-        rows = sorted((s, c) for b in batches for s, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-        got = apportion([float(c) for _, c in rows], blocks[source], [math.ceil(most * c / BLOCK) for _, c in rows])
-        taken = [min(q * BLOCK, int(most * c)) for q, (_, c) in zip(got, rows, strict=True)]
-        start = [int(np.random.default_rng([seed, s]).integers(0, max(1, -(-c // BLOCK)))) * BLOCK for s, c in rows]
-        n = len(rows)
+        got = pa.Table.from_batches(batches).sort_by("_shard")
+        shard, cell = (got.column(c).to_numpy() for c in ("_shard", "_cell"))
+        ceiling = np.floor(most * cell).astype(np.int64)
+        seats = np.array(apportion(cell, blocks[source], np.ceil(most * cell / BLOCK).astype(np.int64)), np.int64)
+        taken = np.minimum(seats * BLOCK, ceiling)
+        start = np.array([int(np.random.default_rng([seed, s]).integers(0, max(1, -(-c // BLOCK)))) * BLOCK for s, c in zip(shard.tolist(), cell.tolist(), strict=True)], np.int64)
+        n = len(shard)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([source] * n, pa.string()), pa.array([s for s, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.int64()), pa.array(taken, pa.int64()), pa.array(start, pa.int64()), pa.array([by_source[source]] * n, pa.int64()), pa.array([goal[source]] * n, pa.float64())],
+            [pa.array([source] * n, pa.string()), pa.array(shard, pa.int32()), pa.array(cell, pa.int64()), pa.array(taken, pa.int64()), pa.array(start, pa.int64()), pa.array([by_source[source]] * n, pa.int64()), pa.array([goal[source]] * n, pa.float64())],
             names=["_source", "_shard", "_cell", "_quota", "_start", "_source_size", "_target"],
         )
 
@@ -123,13 +135,14 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     if not keep:
         return placed(meta).select(*columns)
     part = F.expr(f"CASE WHEN _size = 0 THEN 0L ELSE _taken * {PARTS} div _size END")
+    ring = Window.partitionBy("_source", "_shard").orderBy("_hash", "_id", "_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of_cell = placed(meta).groupBy("_source", "_shard").agg(F.sum(part).alias("_parts"))
     earlier = Window.partitionBy("_source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     begun = of_cell.select(F.col("_source").alias("_s"), F.col("_shard").alias("_k"), F.coalesce(F.sum("_parts").over(earlier), F.lit(0)).alias("_begun"))
-    summed = placed(sized).withColumn("_part", part).withColumn("_sum", F.sum("_part").over(ring))
+    summed = placed(meta).withColumn("_part", part).withColumn("_sum", F.sum("_part").over(ring))
     summed = summed.join(begun, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k"))).withColumn("_sum", F.col("_sum") + F.col("_begun"))
     times = F.expr(f"(_sum + {PARTS // 2}) div {PARTS} - (_sum - _part + {PARTS // 2}) div {PARTS}").cast("int")
-    return summed.select(*columns, times.alias("_times"), "_row")
+    return summed.select(*columns, "_number", times.alias("_times")).join(whole.select("_number", "_row"), "_number").drop("_number")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:

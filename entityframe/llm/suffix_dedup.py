@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from .common import GRAM, STEP_BYTES, Rolling, discard, release, stored, text_ba
 WINDOW = 128
 #: Bytes of contexts that one merge takes; shards of a merge; contexts of a group beyond which strings are counted by hash.
 BUCKET_BYTES, SHARDS, HOT_CONTEXTS = 1_000_000, 4, 20_000
+#: Bytes whose symbols are hashed at a time.
+HASH_BYTES = 1 << 16
 
 
 def places(grams: np.ndarray, window: int) -> np.ndarray:
@@ -109,105 +112,200 @@ def symbols(length: int) -> tuple[int, int]:
     return length // d, d
 
 
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that brings equal values together, whether each is the first of its value in that order)."""
+    n = len(h)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    packed = (h & ~low) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int32)
+    value = h[order]
+    new = np.ones(n, bool)
+    new[1:] = value[1:] != value[:-1]
+    packed &= ~low
+    if (new[1:] & (packed[1:] == packed[:-1])).any():  # values that differ in the low bits alone
+        order = np.argsort(h, kind="stable").astype(np.int32)
+        value = h[order]
+        new[1:] = value[1:] != value[:-1]
+    return order, new
+
+
+def in_order(code: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted codes, their stable order) of codes from 0 to ``top``: each code is sorted as one number with its place, where both fit 63 bits."""
+    bits = len(code).bit_length()
+    if int(top).bit_length() + bits > 63:
+        order = np.argsort(code, kind="stable")
+        return code[order], order
+    packed = code.astype(np.int64)
+    packed <<= bits
+    packed |= np.arange(len(code))
+    packed.sort()
+    order = (packed & ((1 << bits) - 1)).astype(np.int32)
+    packed >>= bits
+    return packed, order
+
+
 def transform(code: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A shard's transform: (preceding code of each sorted row, row of each; -1: the end of a string).
 
     ``code`` is over 0, ``after`` the row that follows each or -1. Ends sort first, in the order of their strings.
     """
     n = len(code)
-    rank, step = code.astype(np.int64), after.copy()
+    rank, step = code, after
     while True:
+        top = int(rank.max(initial=0)) + 1
         follow = np.where(step >= 0, rank[step] + 1, 0)
-        _, rank = np.unique(rank * (follow.max(initial=0) + 1) + follow, return_inverse=True)
+        pair, order = in_order(rank.astype(np.int64) * (top + 1) + follow, (top + 1) ** 2)
+        step = np.where(step >= 0, step[step], -1)
         if not (step >= 0).any():
             break
-        step = np.where(step >= 0, step[step], -1)
-    order = np.argsort(rank, kind="stable")
-    before = np.zeros(n, np.int64)
+        new = np.zeros(n, bool)
+        new[1:] = pair[1:] != pair[:-1]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
+    before = np.zeros(n, np.int32)
     has = after >= 0
     before[after[has]] = code[has]
-    return np.concatenate([code[~has], before[order]]), np.concatenate([np.full(int((~has).sum()), -1), order])
+    return np.concatenate([code[~has], before[order]]), np.concatenate([np.full(int((~has).sum()), -1, np.int32), order])
 
 
 def merge(tables: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement of transforms: (shard of each merged row, symbols it shares with the row before, ``depth`` at most)."""
     sizes = [len(t) for t in tables]
-    all_codes = np.concatenate(tables)
-    n = len(all_codes)
-    ends = np.concatenate([np.full(int((t == 0).sum()), s) for s, t in enumerate(tables)])
+    n, top = sum(sizes), max(int(t.max(initial=0)) for t in tables)
+    ends = np.concatenate([np.full(int((t == 0).sum()), s, np.int8) for s, t in enumerate(tables)])
     interleave = np.repeat(np.arange(len(tables), dtype=np.int8), sizes)
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     common = np.full(n, depth, np.int8)
+    row_code = np.empty(n, np.int32)
     for k in range(depth):
-        row = np.empty(n, np.int64)
-        row[np.argsort(interleave, kind="stable")] = np.arange(n)
-        code = all_codes[row]
-        order = np.argsort(code, kind="stable")
-        code, origin = code[order], block[order]
+        for s, t in enumerate(tables):
+            row_code[interleave == s] = t
+        code, order = in_order(row_code, top)
+        origin = block[order]
         interleave = interleave[order]
         interleave[: len(ends)] = ends
         parts = np.ones(n, bool)
         parts[1:] = (code[1:] != code[:-1]) | (origin[1:] != origin[:-1])
         parts[: len(ends)] = True
         common[parts & (common == depth)] = k
-        block = np.cumsum(parts)
+        block = np.cumsum(parts, dtype=np.int32)
     return interleave, common
 
 
-def repeated_starts(strings: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
-    """Whether the string of ``length`` bytes at each byte of the joined ``strings`` occurs elsewhere in them; each stands ``counts`` times."""
+def symbol_hashes(data: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the ``q`` bytes from each place of the sorted ``at``, worked out ``HASH_BYTES`` at a time."""
+    out = np.empty(len(at), np.uint64)
+    for base in range(0, len(data), HASH_BYTES):
+        lo, hi = np.searchsorted(at, (base, base + HASH_BYTES))
+        here = at[lo:hi] - base
+        out[lo:hi] = Rolling(data[base : base + HASH_BYTES + q - 1]).spans(here, here + q)
+    return out
+
+
+def repeated_starts(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` bytes at each byte of ``data`` occurs elsewhere in it; its strings of ``sizes`` bytes stand ``counts`` times each."""
     q, depth = symbols(length)
-    sizes = np.array([len(s) for s in strings])
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    n = len(data)
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    end = np.cumsum(sizes)[owner]
-    roll = Rolling(data)
-    at = np.flatnonzero(np.arange(n) + q <= end)
-    kinds, code = np.unique(roll.spans(at, at + q), return_inverse=True)
-    often = np.bincount(code, weights=counts[owner[at]], minlength=len(kinds)) > 1
-    live = np.zeros(n + length, bool)
-    live[at] = often[code]
-    whole = np.arange(n) + length <= end
+    n, number = len(data), len(sizes)
+    out = np.zeros(n, bool)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(number, dtype=np.int32), sizes)
+    left = np.repeat(ends.astype(np.int32), sizes) - np.arange(n, dtype=np.int32)
+    at = np.flatnonzero(left >= q)
+    order, new = numbered(symbol_hashes(data, at, q))
+    if not len(order):
+        return out
+    first = np.flatnonzero(new)
+    often = np.add.reduceat(counts[owner[at[order]]], first) > 1
+    # symbols that stand once are no part of a repeated string: the others are numbered from 1
+    symbol = np.zeros(n + length, np.int32)
+    symbol[at[order]] = np.where(often, np.cumsum(often, dtype=np.int32), 0)[np.cumsum(new, dtype=np.int32) - 1]
+    del order, new, first, at
+    whole = left >= length
     for j in range(depth):
-        whole &= live[j * q : j * q + n]
+        whole &= symbol[j * q : j * q + n] > 0
+    del left
     keep = np.zeros(n + length, bool)
     for j in range(depth):
         keep[j * q : j * q + n] |= whole
-    rows = np.flatnonzero(keep[:n])
-    out = np.zeros(n, bool)
+    rows = np.flatnonzero(keep[:n]).astype(np.int32)
     if not len(rows):
         return out
-    place = np.full(n + length, -1, np.int64)
-    place[at] = code + 1
-    row_code = place[rows]
-    number = np.full(n + length, -1, np.int64)
-    number[rows] = np.arange(len(rows))
-    after = number[rows + q]
-    after[(after >= 0) & (owner[np.minimum(rows + q, n - 1)] != owner[rows])] = -1
+    row_code = symbol[rows]
+    place = symbol  # the symbols are read: their room takes the numbers of the rows
+    place.fill(-1)
+    place[rows] = np.arange(len(rows), dtype=np.int32)
+    row_owner = owner[rows]
+    after = place[rows + q]
+    after[(after >= 0) & (row_owner[after] != row_owner)] = -1
+    del symbol, place, owner, keep
     # shards: runs of whole strings
-    cuts = np.searchsorted(owner[rows], np.linspace(0, len(strings), SHARDS + 1).astype(int))
+    cuts = np.searchsorted(row_owner, np.linspace(0, number, SHARDS + 1).astype(int))
     tables, suffixes = [], []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if hi > lo:
             t, s = transform(row_code[lo:hi], np.where(after[lo:hi] >= 0, after[lo:hi] - lo, -1))
             tables.append(t)
             suffixes.append(np.where(s >= 0, s + lo, -1))
+    del row_code, after
     interleave, common = merge(tables, depth)
-    suffix = np.empty(len(interleave), np.int64)
-    suffix[np.argsort(interleave, kind="stable")] = np.concatenate(suffixes)
-    interval = np.cumsum(common < depth) - 1
-    weight = np.where(suffix >= 0, counts[owner[rows[np.maximum(suffix, 0)]]], 0)
-    found = (np.bincount(interval, weights=weight)[interval] > 1) & (suffix >= 0)
-    hits = rows[suffix[found]]
-    out[hits] = True
+    suffix = np.empty(len(interleave), np.int32)
+    for k, s in enumerate(suffixes):
+        suffix[interleave == k] = s
+    del tables, suffixes, interleave
+    weight = np.where(suffix >= 0, counts[row_owner[suffix]], 0)
+    start = np.flatnonzero(common < depth)
+    found = np.repeat(np.add.reduceat(weight, start) > 1, np.diff(np.append(start, len(common)))) & (suffix >= 0)
+    out[rows[suffix[found]]] = True
     return out & whole
 
 
-def _runs(flags: np.ndarray) -> list[dict[str, int]]:
-    """Runs of true flags, as {a: first, b: last}."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return [{"a": int(a), "b": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Whole groups (rows of one _key, which stand together) with about ``size`` bytes of _string at most; a larger group is alone."""
+    held: list[tuple] = []
+    group: list[tuple] = []
+    held_size = group_size = 0
+    last = None
+
+    def table() -> pa.Table:
+        return pa.Table.from_batches([b.slice(lo, hi - lo) for b, lo, hi in held])
+
+    for b in batches:
+        key = b.column(0).to_numpy()
+        total = np.append(0, np.cumsum(pc.binary_length(b.column(3)).to_numpy().astype(np.int64))).tolist()
+        starts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if lo < hi and key[lo] != last:
+                if held and held_size + group_size > size:
+                    yield table()
+                    held, held_size = [], 0
+                if held and group and held[-1][0] is group[0][0] and held[-1][2] == group[0][1]:
+                    held[-1] = (held[-1][0], held[-1][1], group[0][2])
+                    group = group[1:]
+                held += group
+                held_size += group_size
+                group, group_size, last = [], 0, key[lo]
+            group.append((b, lo, hi))
+            group_size += total[hi] - total[lo]
+    if held and held_size + group_size > size:
+        yield table()
+        held = []
+    held += group
+    if held:
+        yield table()
+
+
+def joined(strings: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all strings, size of each)."""
+    flat = strings.cast(pa.large_binary()).combine_chunks()
+    at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
+    return np.frombuffer(flat.buffers()[2], np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of true flags."""
+    edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -252,26 +350,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
     strings = stored(one_each.join(wanted, ["_text_id", "_size"]).select("_bytes", "_w").mapInArrow(cut, "_key long, _content long, _count long, _hot boolean, _string binary"), "suffix-strings")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def solve() -> pa.RecordBatch:
-            flags = repeated_starts([h[3] for h in held], np.array([h[2] for h in held]), length)
-            ends = np.cumsum([len(h[3]) for h in held])
-            found = [_runs(flags[e - len(h[3]) : e]) for h, e in zip(held, ends.tolist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(found, runs_type)], names=["_key", "_content", "_runs"])
-            held.clear()
-            return out
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > BUCKET_BYTES and row[0] != held[-1][0]:
-                    yield solve()
-                    size = 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield solve()
+        for t in groups(batches, BUCKET_BYTES):
+            data, sizes = joined(t.column(3))
+            a, b = runs(repeated_starts(data, sizes, t.column(2).to_numpy(), length))
+            ends = np.cumsum(sizes)
+            of = np.searchsorted(ends, a, side="right")  # no run goes on in the next string: the last bytes of each begin none
+            base = (ends - sizes)[of]
+            yield pa.RecordBatch.from_arrays([_long(t.column(0).to_numpy()[of]), _long(t.column(1).to_numpy()[of]), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], names=["_key", "_content", "a", "b"])
         release()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +366,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
                 h = Rolling(np.frombuffer(s, np.uint8)).spans(at, at + length)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([content] * len(at), pa.int64()), pa.array([count] * len(at), pa.int64()), pa.array(at.astype(np.int32)), _long(h)], names=["_key", "_content", "_count", "_a", "_hash"])
 
-    runs_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     fields = ("_key", "_content", "_count", "_string")
-    cold = strings.where("NOT _hot").select(*fields).repartition(n, "_key").sortWithinPartitions("_key", "_content").mapInArrow(search, "_key long, _content long, _runs array<struct<a:int,b:int>>").select("_key", "_content", F.explode("_runs").alias("_run")).select("_key", "_content", "_run.a", "_run.b")
+    cold = strings.where("NOT _hot").select(*fields).repartition(n, "_key").sortWithinPartitions("_key", "_content").mapInArrow(search, "_key long, _content long, a int, b int")
     single = strings.where("_hot").select(*fields).mapInArrow(each, "_key long, _content long, _count long, _a int, _hash long")
     again = single.groupBy("_hash").agg(F.sum("_count").alias("_n")).where("_n > 1").select("_hash")
     warm = single.join(again, "_hash").select("_key", "_content", F.col("_a").alias("a"), F.col("_a").alias("b"))

@@ -1,9 +1,11 @@
 """Suffix dedup and the n-gram join against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from entityframe.llm import common, ngram_join, suffix_dedup
@@ -117,6 +119,45 @@ def test_merge_gives_the_common_prefixes():
     assert common.tolist() == want
 
 
+def bucket(seed=4, pairs=2000):
+    """A full bucket: pairs of strings that share 210 bytes between ends of their own."""
+    rng = np.random.default_rng(seed)
+    make = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    shared = [make(210) for _ in range(pairs)]
+    strings = [make(int(rng.integers(1, 80))) + s for s in shared] + [s + make(int(rng.integers(1, 80))) for s in shared]
+    return np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.ones(len(strings), np.int64)
+
+
+def test_merge_of_a_bucket_takes_little_memory():
+    """Two workers beside a JVM: the arrays of a merge are bounded by its bytes."""
+    data, sizes, counts = bucket()
+    tracemalloc.start()
+    found = suffix_dedup.repeated_starts(data, sizes, counts, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.sum() == 4000 * 11
+    assert peak < 75 * len(data)
+
+
+def test_groups_stay_whole_and_buckets_small():
+    """Buckets close before a group that doesn't fit, wherever the batches are cut; a larger group is alone."""
+    rng = np.random.default_rng(8)
+    size = rng.integers(1, 9, 60)
+    size[20] = 50
+    key = np.repeat(np.arange(60) * 7 - 100, size)
+    rows = pa.table({"_key": key, "_content": np.arange(len(key)), "_count": np.ones(len(key), np.int64), "_string": [b"x" * 10] * len(key)})
+    for cut in (1, 3, 17, 1000):
+        empty = rows.slice(0, 0).to_batches() or [pa.RecordBatch.from_pylist([], rows.schema)]
+        got = list(suffix_dedup.groups(iter([*empty, *rows.to_batches(cut), *empty]), 200))
+        assert pa.concat_tables(got).combine_chunks() == rows.combine_chunks()
+        keys = [set(t["_key"].to_pylist()) for t in got]
+        assert sum(map(len, keys)) == 60
+        assert all(len(t) <= 20 or len(k) == 1 for t, k in zip(got, keys, strict=True))
+        data, sizes = suffix_dedup.joined(got[1].column(3))
+        assert len(data) == 10 * len(got[1]) and set(sizes.tolist()) == {10}
+    assert list(suffix_dedup.groups(iter([]), 200)) == []
+
+
 def test_suffix_apply_and_empty(spark):
     text = "é" * 150 + "x" * 10
     df = spark.createDataFrame([(1, text, "k"), (2, text, "k"), (3, None, None), (4, "short", "k")], "doc_id long, text string, _bytes2 string")

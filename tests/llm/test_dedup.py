@@ -139,6 +139,29 @@ def test_merge_of_a_bucket_takes_little_memory():
     assert peak < 75 * len(data)
 
 
+def test_merge_of_a_bucket_sorts_no_indices(monkeypatch):
+    """Indirect sorts were more than half of a merge's time: codes and places are sorted as single numbers."""
+    data, sizes, counts = bucket(5, 300)
+    want = suffix_dedup.repeated_starts(data, sizes, counts, 200)
+    for name in ("argsort", "unique", "lexsort"):
+        monkeypatch.setattr(np, name, lambda *a, **b: pytest.fail("an indirect sort"))
+    assert (suffix_dedup.repeated_starts(data, sizes, counts, 200) == want).all() and want.sum() == 600 * 11
+
+
+def test_packed_sorts_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    for code, top in ((rng.integers(0, 50, 1000), 49), (rng.integers(0, 1 << 60, 1000) // (1 << 55), (1 << 60)), (np.zeros(0, np.int64), 0)):
+        value, order = suffix_dedup.in_order(code, top)
+        assert order.tolist() == np.argsort(code, kind="stable").tolist() and value.tolist() == sorted(code.tolist())
+    far = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    near = np.uint64(1 << 62) + np.tile(np.arange(3, dtype=np.uint64), 100)  # values that differ in their low bits alone, mixed
+    for h in (np.tile(far, 3), near, np.concatenate([far, near])):
+        order, new = suffix_dedup.numbered(h)
+        assert sorted(order.tolist()) == list(range(len(h)))
+        runs = np.split(h[order], np.flatnonzero(new)[1:])
+        assert all(len(set(r.tolist())) == 1 for r in runs) and len(runs) == len(set(h.tolist()))
+
+
 def test_groups_stay_whole_and_buckets_small():
     """Buckets close before a group that doesn't fit, wherever the batches are cut; a larger group is alone."""
     rng = np.random.default_rng(8)
